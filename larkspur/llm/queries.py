@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import p03_neighbours, p05_format_copies
+from larkspur.llm import p01_split, p03_neighbours, p05_format_copies, p08_leaks
 from larkspur.tables import spread, table
 
 
@@ -21,6 +21,22 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return spread(chunks).unionByName(spread(turns))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return p01_split.items(spread(table(spark, d, "ingestion_state").select("run_id", "extracted_text", "chunks", "chunking_config")))
+
+
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", *columns))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p01_split.oversized(_items(spark, d))
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return p01_split.split_oversized(_items(spark, d)).drop("piece").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p03_neighbours.close_pairs(_vectors(spark, d))
 
@@ -29,5 +45,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p05_format_copies.format_copies(_chunk_content(spark, d))
 
 
+def p5_copies(spark: SparkSession, d: str) -> DataFrame:
+    return p05_format_copies.copy_counts(_chunk_content(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p08_leaks.leaks(_documents(spark, d), table(spark, d, "eval_cases"))
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return p08_leaks.leaked_spans(_documents(spark, d), table(spark, d, "eval_cases"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p5_copies, p8_found, p8_spans)}
