@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import p01_split, p03_neighbours, p05_format_copies, p08_leaks
+from larkspur.llm import p01_split, p03_neighbours, p05_format_copies, p08_leaks, p10_quality
 from larkspur.tables import spread, table
 
 
@@ -57,5 +57,13 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return p08_leaks.leaked_spans(_documents(spark, d), table(spark, d, "eval_cases"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_quality.not_prose(_documents(spark, d))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return p10_quality.quality(_documents(spark, d)).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p5_copies, p8_found, p8_spans)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p5_copies, p8_found, p8_spans, p10_found, p10_statistics)}
