@@ -17,6 +17,10 @@ FUNCTION_WORDS = {
     "hi": "का की के को में से पर है हैं और या क्या क्यों कब कैसे मेरा मेरी मेरे आपका आप हम नहीं करना करने हो होगा जाएगा जाएगी तक लिए यह वह एक भी यदि तो साथ इस दी दिन भीतर".split(),
     "ar": "في من إلى على عن أن هذا هذه التي الذي مع أو و لا ما هل كل بعد قبل خلال يجب حتى منذ".split(),
 }
+#: Share of a text's words that must be function words of a language to name it.
+LEAST_SHARE = 0.12
+#: Different function words that a longer text must have.
+LEAST_WORDS = 3
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 _LATIN = ("en", "es", "fr", "de", "pt", "it", "hi-latn")
 
@@ -52,6 +56,6 @@ def language(text: str, prefer: str | None = None) -> tuple[str, float]:
         for k in _languages_of(w):
             count[k] += 1
     best = max(_LATIN, key=lambda k: count[k])
-    if not count[best]:
+    if not words or count[best] < LEAST_SHARE * len(words) or len(words) > 20 and len({w for w in words if w in _SETS[best]}) < LEAST_WORDS:
         return prefer or "und", 0.0
     return best, count[best] / len(words)

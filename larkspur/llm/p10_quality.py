@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.language import language
 from larkspur.session import cut
 
-STATISTICS = ("mean_word_length", "long_word_share", "symbol_ratio", "digit_ratio", "letter_ratio", "common_word_share", "words_per_sentence", "sentence_end_share", "line_end_share", "words_per_line", "short_line_share", "marker_share", "column_share", "repeat_share", "entropy")
+STATISTICS = ("mean_word_length", "long_word_share", "symbol_ratio", "digit_ratio", "letter_ratio", "common_word_share", "words_per_sentence", "sentence_end_share", "line_end_share", "words_per_line", "short_line_share", "marker_share", "column_share", "repeat_share", "word_entropy")
 COUNTS = ("n_words", "n_lines", "n_sentences")
 #: Squared distance beyond which a document isn't prose: about the 0.9999 quantile of chi-square with 15 degrees.
 LIMIT = 45.0
@@ -32,6 +32,10 @@ INSIDE = 27.5
 STEPS = 3
 MIN_DOCUMENTS = 50
 RIDGE = 0.15
+#: What language() says of texts without a known language; they are measured against the estimate over all.
+UNKNOWN = ("und", "other")
+#: Share of function words from which a text reads as sentences.
+READABLE = 0.22
 
 _WORD = re.compile(r"[^\W_]+(?:[’'-][^\W_]+)*")
 _NATIVE = re.compile(r"[^\W\d_][^\W\d_ऀ-ॿ]*")
@@ -163,7 +167,7 @@ def _models(rows: list, floor: np.ndarray) -> dict[str, tuple[np.ndarray, np.nda
     for code, flat in totals.items():
         m = flat.reshape(p, p)
         n = m[0, 0]
-        if n < MIN_DOCUMENTS and code:
+        if code and (n < MIN_DOCUMENTS or code in UNKNOWN):
             continue
         mean = m[0, 1:] / n
         cov = m[1:, 1:] / n - np.outer(mean, mean)
@@ -174,15 +178,20 @@ def _models(rows: list, floor: np.ndarray) -> dict[str, tuple[np.ndarray, np.nda
 def fit(measured: DataFrame) -> Prose:
     """Robust estimate over all documents. The driver receives one small matrix per language."""
     at = [F.col("x")[i] for i in range(len(STATISTICS))]
-    quartiles = measured.where("n_words > 0").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(at))).first()
-    if quartiles is None or quartiles["q0"] is None:
+    quartiles = measured.where("n_words > 0").groupBy("language").agg(F.count("*").alias("n"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(at))).collect()
+    if not quartiles:
         p = len(STATISTICS)
         return Prose({"": (np.zeros(p), np.eye(p))})
-    q = np.array([quartiles[f"q{i}"] for i in range(len(STATISTICS))])
     # A floor for each deviation keeps statistics that hardly vary in clean prose from taking over.
     floor = RIDGE * np.array([1.0, 0.05, 0.1, 0.2, 0.2, 0.4, 2.0, 0.15, 1.0, 2.0, 0.6, 0.4, 0.6, 0.5, 0.3])
-    spread = np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor)
-    prose = Prose({"": (q[:, 1], np.diag(1 / spread**2))})
+    start = {}
+    for row in sorted(quartiles, key=lambda r: r["n"]):
+        q = np.array([row[f"q{i}"] for i in range(len(STATISTICS))])
+        model = q[:, 1], np.diag(1 / np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor) ** 2)
+        start[""] = model  # the largest language comes last and stands in for those without a model
+        if row["n"] >= MIN_DOCUMENTS and row["language"] not in UNKNOWN:
+            start[row["language"]] = model
+    prose = Prose(start)
     for step in range(STEPS):
         rows = measured.where("n_words > 0").select("language", "x").mapInArrow(_moments(prose, INSIDE * (2 if step == 0 else 1)), "language string, i int, v double").groupBy("language", "i").agg(F.sum("v").alias("v")).collect()
         models = _models(rows, floor)
@@ -192,21 +201,25 @@ def fit(measured: DataFrame) -> Prose:
     return prose
 
 
-def kind_of(x: np.ndarray, n_words: int, n_lines: int, distance: float, limit: float = LIMIT) -> str:
-    """prose, list, table or junk."""
+def kind_of(code: str, x: np.ndarray, n_words: int, n_lines: int, distance: float, limit: float = LIMIT) -> str:
+    """prose, list, table or junk: outliers are named by the statistics that set entries, rows and noise apart."""
     v = dict(zip(STATISTICS, x))
     if not n_words:
         return "junk"
     if distance <= limit:
         return "prose"
-    unread = v["letter_ratio"] < 0.45 and v["column_share"] < 0.6 or v["long_word_share"] > 0.2 or v["repeat_share"] > 0.6 and v["marker_share"] < 0.5 or v["mean_word_length"] < 2.2 and v["column_share"] < 0.6
-    if unread:
+    if v["repeat_share"] > 0.7 and n_lines < 4 or v["long_word_share"] > 0.2:
         return "junk"
-    if v["column_share"] >= 0.6 and v["line_end_share"] < 0.4 and n_lines >= 3 and v["marker_share"] < 0.5:
+    rows = v["column_share"] >= 0.6 and n_lines >= 3 and v["line_end_share"] < 0.5
+    entries = n_lines >= 3 and v["line_end_share"] < 0.35 and (v["marker_share"] >= 0.6 or v["short_line_share"] >= 0.7)
+    worded = v["letter_ratio"] >= 0.5 and v["mean_word_length"] >= 2.5
+    if rows and v["marker_share"] < 0.5 and v["symbol_ratio"] < 0.6:
         return "table"
-    if n_lines >= 3 and v["line_end_share"] < 0.3 and (v["marker_share"] >= 0.6 or v["short_line_share"] >= 0.7):
+    if entries and worded and (v["common_word_share"] < READABLE or not v["sentence_end_share"]):
         return "list"
-    return "prose"
+    if code == "other":
+        return "prose" if v["letter_ratio"] >= 0.7 else "junk"
+    return "prose" if v["common_word_share"] >= READABLE and v["letter_ratio"] >= 0.7 and v["repeat_share"] <= 0.7 else "junk"
 
 
 def _judge(prose: Prose, limit: float):
@@ -216,7 +229,8 @@ def _judge(prose: Prose, limit: float):
             parts = prose.distances(b["language"].to_pylist(), x)
             total = parts.sum(1)
             words, lines = b["n_words"].to_pylist(), b["n_lines"].to_pylist()
-            kinds = [kind_of(x[i], words[i], lines[i], total[i], limit) for i in range(len(x))]
+            codes = b["language"].to_pylist()
+            kinds = [kind_of(codes[i], x[i], words[i], lines[i], total[i], limit) for i in range(len(x))]
             values = [pa.array(x[:, i]) for i in range(len(STATISTICS))]
             names = [f"{s}_part" for s in STATISTICS]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["language"], *(b[c] for c in COUNTS), *values, pa.array(total), *(pa.array(parts[:, i]) for i in range(len(names))), pa.array(kinds)], ["doc_id", "language", *COUNTS, *STATISTICS, "distance", *names, "kind"])
