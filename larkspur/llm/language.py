@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 # Frequent function words by language; hi-latn is Hindi in Latin letters.
@@ -35,27 +36,34 @@ def _languages_of(word: str) -> tuple[str, ...]:
     return tuple(k for k in _LATIN if word in _SETS[k])
 
 
-def language(text: str, prefer: str | None = None) -> tuple[str, float]:
-    """(language, share of its function words among the words). Texts without evidence get ``prefer`` or "und"."""
-    low = text.lower()
+def language(text: str, prefer: str | None = None, counts: dict[str, int] | None = None) -> tuple[str, float]:
+    """(language, share of its function words among the words). Texts without evidence get ``prefer`` or "und".
+
+    ``counts``: how often each lower-case word occurs, where the caller has that already.
+    """
+    low = text if counts is not None else text.lower()
     if not low.isascii():
         native = sum(map(len, _DEVANAGARI.findall(low)))
         arabic = sum(map(len, _ARABIC.findall(low)))
+        if native or arabic:
+            latin = sum(map(len, _LATIN_WORD.findall(low)))
+            if native * 1.5 >= latin and native > 0 or arabic * 1.5 >= latin and arabic > 0:
+                code = "hi" if native >= arabic else "ar"
+                words = low.split()
+                known = _SETS[code]
+                return code, sum(w.strip("।.,?؟!،") in known for w in words) / max(1, len(words))
         other = sum(map(len, _OTHER.findall(low)))
-        latin = sum(map(len, _LATIN_WORD.findall(low)))
-        if other > latin and other > native + arabic:
+        if other and other > sum(map(len, _LATIN_WORD.findall(low))):
             return "other", 0.0
-        if native * 1.5 >= latin and native > 0 or arabic * 1.5 >= latin and arabic > 0:
-            code = "hi" if native >= arabic else "ar"
-            words = low.split()
-            known = _SETS[code]
-            return code, sum(w.strip("।.,?؟!،") in known for w in words) / max(1, len(words))
-    words = _LATIN_WORD.findall(low)
-    count = dict.fromkeys(_LATIN, 0)
-    for w in words:
+    if counts is None:
+        counts = Counter(_LATIN_WORD.findall(low))
+    total = sum(counts.values())
+    seen: dict[str, list[int]] = {k: [0, 0] for k in _LATIN}
+    for w, n in counts.items():
         for k in _languages_of(w):
-            count[k] += 1
-    best = max(_LATIN, key=lambda k: count[k])
-    if not words or count[best] < LEAST_SHARE * len(words) or len(words) > 20 and len({w for w in words if w in _SETS[best]}) < LEAST_WORDS:
+            seen[k][0] += n
+            seen[k][1] += 1
+    best = max(_LATIN, key=lambda k: seen[k][0])
+    if not total or seen[best][0] < LEAST_SHARE * total or total > 20 and seen[best][1] < LEAST_WORDS:
         return prefer or "und", 0.0
-    return best, count[best] / len(words)
+    return best, seen[best][0] / total

@@ -3,17 +3,16 @@
 A shard (a bounded block of documents inside one task) becomes one sequence of word numbers over the vocabulary of
 the test passages; every other word and every document end is the separator 0, in which no phrase can match. Its
 suffixes are sorted, the Burrows-Wheeler transform goes into a wavelet matrix, and all phrases of
-``MIN_WORDS`` words search it backwards at once by ranks. Occurrences are located from sampled suffix positions and
+``MINWORDS`` words search it backwards at once by ranks. Occurrences are located from sampled suffix positions and
 merged into the spans to remove.
 
 A word is a run of letters or digits in lower case. Defined results: null texts and ids, and cases with fewer than
-``MIN_WORDS`` words, match nothing. Repeated rows count once. The test set is a stated query set: it is sent to the
-tasks in blocks of at most ``BLOCK_WORDS`` words, so what a task holds doesn't grow with it.
+``MINWORDS`` words, match nothing. Repeated rows count once. The test set is a stated query set: it is sent to the
+tasks in blocks of at most ``BLOCKWORDS`` words, so what a task holds doesn't grow with it.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,18 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_WORDS = 12
-SHARD_WORDS = 400_000
-BLOCK_WORDS = 400_000
-SAMPLE = 8
-
-_WORD = re.compile(r"[^\W_]+")
+from larkspur.llm.text import WORD, lower
 
-
-def lower(text: str) -> str:
-    """Lower case without a change of length."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+MINWORDS = 12
+SHARDWORDS = 400_000
+BLOCKWORDS = 400_000
+SAMPLE = 8
 
 
 def suffix_order(seq: np.ndarray) -> np.ndarray:
@@ -134,7 +127,7 @@ class FMIndex:
 
 
 class TestSet:
-    """Phrases of ``MIN_WORDS`` words of a block of test passages, as numbers over their own vocabulary."""
+    """Phrases of ``MINWORDS`` words of a block of test passages, as numbers over their own vocabulary."""
 
     __test__ = False
 
@@ -142,7 +135,7 @@ class TestSet:
         self.min_words, self.numbers = min_words, {}
         of: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for case, text in passages:
-            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in _WORD.findall(lower(text))]
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in WORD.findall(lower(text))]
             for i in range(len(words) - min_words + 1):
                 of[tuple(words[i : i + min_words])].add(case)
         self.phrases = np.array(list(of), np.int64).reshape(-1, min_words)
@@ -150,7 +143,7 @@ class TestSet:
 
     def sequence(self, text: str) -> np.ndarray:
         get = self.numbers.get
-        words = _WORD.findall(lower(text))
+        words = WORD.findall(lower(text))
         return np.fromiter([get(w, 0) for w in words], np.int32, len(words))
 
     def shard(self, docs: list[np.ndarray]) -> Iterator[tuple[int, str, int]]:
@@ -201,7 +194,7 @@ def _search(passages: list[tuple[str, str]], min_words: int, shard_words: int):
             rows, spans = [], {}
             for (doc, case), starts in by.items():
                 if doc not in spans:
-                    spans[doc] = [m.span() for m in _WORD.finditer(lower(texts[doc]))]
+                    spans[doc] = [m.span() for m in WORD.finditer(lower(texts[doc]))]
                 for s, e in merged(starts, min_words):
                     rows.append((ids[doc], case, spans[doc][s][0] + 1, spans[doc][e - 1][1], e - s))
             columns = list(zip(*rows)) or [()] * 5
@@ -237,7 +230,7 @@ def _blocks(cases: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]
         yield block
 
 
-def leaked_spans(documents: DataFrame, cases: DataFrame, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaked_spans(documents: DataFrame, cases: DataFrame, min_words: int = MINWORDS, shard_words: int = SHARDWORDS, block_words: int = BLOCKWORDS) -> DataFrame:
     """Removal spans: doc_id, case_id, start_pos and end_pos (characters, from 1, both included), n_words.
 
     ``documents``: doc_id, text; ``cases``: id, input, expected_output. No shuffle: a task indexes its own documents.

@@ -12,8 +12,11 @@ left out; repeated rows count once. Languages with fewer than ``MIN_DOCUMENTS``
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.language import language
+from larkspur.llm.text import lower
 from larkspur.session import cut
 
 STATISTICS = ("mean_word_length", "long_word_share", "symbol_ratio", "digit_ratio", "letter_ratio", "common_word_share", "words_per_sentence", "sentence_end_share", "line_end_share", "words_per_line", "short_line_share", "marker_share", "column_share", "repeat_share", "word_entropy")
@@ -38,71 +42,79 @@ UNKNOWN = ("und", "other")
 READABLE = 0.22
 
 _WORD = re.compile(r"[^\W_]+(?:[’'-][^\W_]+)*")
-_NATIVE = re.compile(r"[^\W\d_][^\W\d_ऀ-ॿ]*")
 _SENTENCE = re.compile(r"[.!?।؟。！？]+[\"')\]»”’]*(?=\s|$)")
-_LINE_END = re.compile(r"[.!?।؟。！？:][\"')\]»”’]*\s*$")
+# Marks that end a line of prose, marks that may close after them, and plain punctuation.
+ENDS = frozenset(".!?।؟。！？:")
+CLOSERS = "\"')]»”’"
+PLAIN = ".,;:!?'\"()-।،؟’"
 _MARKER = re.compile(r"\s*(?:[-*•·+→‣▪◦–—>]|o(?=\s)|\[[ xX]?\]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)])\s+\S")
-_SPLITS = tuple(re.compile(p) for p in (r"\t", r"\|", r";", r",(?! )|, (?=[^ ]{0,25}(?:,|$))", r"\s{2,}", r"\.{4,}"))
+#: Delimiters of columns: a string that a row holds, and the pattern that counts it where plain counting won't do.
+_SPLITS = (("\t", None), ("|", None), (";", None), (",", re.compile(r",(?! )|, (?=[^ ]{0,25}(?:,|$))")), ("  ", re.compile(r"\s{2,}")), ("....", re.compile(r"\.{4,}")))
 _CSV_QUOTED = re.compile(r'"[^"\n]*"')
 
 
+@lru_cache(1)
+def _character_classes() -> np.ndarray:
+    """Per character code: 0 symbol, 1 letter, 2 digit, 3 combining mark, 4 plain punctuation, 5 blank, 6 other white space."""
+    kind = np.zeros(0x110000, np.uint8)
+    for code in range(0x20000):
+        c = chr(code)
+        kind[code] = 1 if c.isalpha() else 2 if c.isdigit() else 6 if c.isspace() else 3 if unicodedata.category(c)[0] == "M" else 0
+    kind[0x20000:0x32000] = 1
+    for c in PLAIN:
+        kind[ord(c)] = 4
+    kind[32] = 5
+    return kind
+
+
 def _columns(lines: list[str]) -> float:
     """Share of the lines that are rows of one table: as many columns (2 or more) as most others, by one delimiter."""
     if len(lines) < 2:
         return 0.0
-    best = 0.0
-    for split in _SPLITS:
-        counts = Counter()
-        for line in lines:
-            n = len(split.findall(_CSV_QUOTED.sub("q", line) if '"' in line else line))
-            if n:
-                counts[n] += 1
+    best = 0
+    bare = [_CSV_QUOTED.sub("q", x) if '"' in x else x for x in lines]
+    for delimiter, split in _SPLITS:
+        counts = Counter(len(split.findall(x)) if split else x.count(delimiter) for x in bare if delimiter in x)
+        counts.pop(0, None)
         if counts:
             n, rows = counts.most_common(1)[0]
             near = rows + (counts[n - 1] + counts[n + 1] if n > 2 else 0)
-            best = max(best, min(near, len(lines)) / len(lines))
-    return best
+            best = max(best, near)
+    return min(best, len(lines)) / len(lines)
 
 
 def statistics(text: str | None) -> tuple[str, list[float], list[int]]:
     """(language, values in the order of STATISTICS, counts in the order of COUNTS)."""
     text = text or ""
-    words = _WORD.findall(text)
-    lines = [x for x in text.splitlines() if x.strip()]
-    n_chars, n_words, n_lines = max(1, len(text) - text.count(" ")), len(words), len(lines)
-    code, common = language(text)
-    sentences = _SENTENCE.findall(text)
-    letters = sum(map(str.isalpha, text))
-    digits = sum(map(str.isdigit, text))
-    marks = 0 if text.isascii() else sum("̀" <= c <= "ͯ" or "ऀ" <= c <= "ः" or "ऺ" <= c <= "ॏ" or "ً" <= c <= "ْ" for c in text)
-    plain = sum(map(text.count, ".,;:!?'\"()-।،؟’"))
-    spaces = sum(map(str.isspace, text)) - text.count(" ")
-    symbols = max(0, n_chars - letters - digits - marks - plain - spaces)
-    sizes = [len(w) for w in words]
-    low = [w.lower() for w in words]
+    low = _WORD.findall(lower(text))
+    often = Counter(low)
+    lines = [x for x in text.splitlines() if x and not x.isspace()]
+    n_words, n_lines = len(low), len(lines)
+    code, common = language(text, counts=often)
+    n_sentences = len(_SENTENCE.findall(text))
+    of = np.bincount(_character_classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=7).tolist()
+    n_chars = max(1, len(text) - of[5])
     triples = len(set(zip(low, low[1:], low[2:])))
-    most = max(1, n_words - 2)
-    counts = np.array(list(Counter(low).values()), float)
-    entropy = float(-(counts / n_words * np.log2(counts / n_words)).sum() / np.log2(max(2, n_words))) if n_words else 0.0
-    per_line = [len(_WORD.findall(x)) for x in lines]
+    share = np.fromiter(often.values(), float, len(often)) / max(1, n_words)
+    entropy = -float(share @ np.log2(share)) / log2(max(2, n_words))
     values = [
-        sum(sizes) / max(1, n_words),
-        sum(s > 20 for s in sizes) / max(1, n_words),
-        symbols / n_chars,
-        digits / n_chars,
-        (letters + marks) / n_chars,
+        sum(map(len, low)) / max(1, n_words),
+        sum(map((20).__lt__, map(len, low))) / max(1, n_words),
+        of[0] / n_chars,
+        of[2] / n_chars,
+        (of[1] + of[3]) / n_chars,
         common,
-        float(np.log2(1 + n_words / max(1, len(sentences)))),
-        len(sentences) / max(1, n_words) if sentences else 0.0,
-        sum(bool(_LINE_END.search(x)) for x in lines) / max(1, n_lines),
-        float(np.log2(1 + n_words / max(1, n_lines))),
-        sum(n <= 6 for n in per_line) / max(1, n_lines),
-        sum(bool(_MARKER.match(x)) for x in lines) / max(1, n_lines),
+        log2(1 + n_words / max(1, n_sentences)),
+        n_sentences / max(1, n_words),
+        sum(x.rstrip().rstrip(CLOSERS)[-1:] in ENDS for x in lines) / max(1, n_lines),
+        log2(1 + n_words / max(1, n_lines)),
+        sum(len(x.split(None, 8)) <= 7 for x in lines) / max(1, n_lines),
+        sum(_MARKER.match(x) is not None for x in lines) / max(1, n_lines),
         _columns(lines),
-        1 - triples / most if n_words > 2 else 0.0,
+        1 - triples / max(1, n_words - 2) if n_words > 2 else 0.0,
         entropy,
     ]
-    return code, values, [n_words, n_lines, len(sentences)]
+    return code, values, [n_words, n_lines, n_sentences]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
