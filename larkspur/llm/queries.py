@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import p01_split, p03_neighbours, p05_format_copies, p08_leaks, p10_quality
+from larkspur.llm import p01_split, p02_personal, p03_neighbours, p05_format_copies, p07_pairs, p08_leaks, p10_quality
 from larkspur.tables import spread, table
 
 
@@ -37,6 +37,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p01_split.split_oversized(_items(spark, d)).drop("piece").distinct()
 
 
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "conversations").select("turn_id", "user_message", "bot_response"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p02_personal.items(_turns(spark, d)).drop("end_pos")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return p02_personal.redacted(_turns(spark, d)).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p03_neighbours.close_pairs(_vectors(spark, d))
 
@@ -49,6 +61,10 @@ def p5_copies(spark: SparkSession, d: str) -> DataFrame:
     return p05_format_copies.copy_counts(_chunk_content(spark, d))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p07_pairs.defects(_turns(spark, d).toDF("turn_id", "question", "answer"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p08_leaks.leaks(_documents(spark, d), table(spark, d, "eval_cases"))
 
@@ -66,4 +82,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p5_copies, p8_found, p8_spans, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p5_found, p5_copies, p7_found, p8_found, p8_spans, p10_found, p10_statistics)}
