@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import p01_split, p02_personal, p03_neighbours, p05_format_copies, p07_pairs, p08_leaks, p10_quality
+from larkspur.llm import p01_split, p02_personal, p03_neighbours, p05_format_copies, p06_near_copies, p07_pairs, p08_leaks, p10_quality
 from larkspur.tables import spread, table
 
 
@@ -61,6 +61,14 @@ def p5_copies(spark: SparkSession, d: str) -> DataFrame:
     return p05_format_copies.copy_counts(_chunk_content(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p06_near_copies.near_copies(_chunk_content(spark, d))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return p06_near_copies.near_copy_groups(_chunk_content(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p07_pairs.defects(_turns(spark, d).toDF("turn_id", "question", "answer"))
 
@@ -82,4 +90,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p5_found, p5_copies, p7_found, p8_found, p8_spans, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p5_found, p5_copies, p6_found, p6_groups, p7_found, p8_found, p8_spans, p10_found, p10_statistics)}
