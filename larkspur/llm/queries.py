@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import p01_split, p02_personal, p03_neighbours, p05_format_copies, p06_near_copies, p07_pairs, p08_leaks, p10_quality
+from larkspur.llm import p01_split, p02_personal, p03_neighbours, p04_scans, p05_format_copies, p06_near_copies, p07_pairs, p08_leaks, p10_quality
 from larkspur.tables import spread, table
 
 
@@ -53,6 +53,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p03_neighbours.close_pairs(_vectors(spark, d))
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "ingestion_state").select("run_id", F.col("extracted_text").alias("text")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p04_scans.noise(_runs(spark, d))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return p04_scans.repaired(_runs(spark, d)).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p05_format_copies.format_copies(_chunk_content(spark, d))
 
@@ -90,4 +102,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p5_found, p5_copies, p6_found, p6_groups, p7_found, p8_found, p8_spans, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p4_found, p4_repaired, p5_found, p5_copies, p6_found, p6_groups, p7_found, p8_found, p8_spans, p10_found, p10_statistics)}
