@@ -165,12 +165,12 @@ def _similar(shingle: int, least: float):
     return run
 
 
-def _differing(words_: int) -> Column:
-    """Two-bit symbols in which the fingerprints p and q differ."""
+def _differing(a: str, b: str, words_: int) -> Column:
+    """Two-bit symbols in which the fingerprints of two sides of a join differ."""
     odd = F.lit(0x5555555555555555)
     parts = []
     for i in range(words_):
-        x = F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))
+        x = F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))
         parts.append(F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(odd)))
     total = parts[0]
     for p in parts[1:]:
@@ -203,9 +203,10 @@ def class_pairs(rows: DataFrame, members: DataFrame, least: float = LEAST, bands
     schema = "vid long, " + "".join(f"p{i} long, " for i in range(n)) + "bands array<long>"
     printed = texts.select("vid", "content").mapInArrow(_prints(bands, band_rows, shingle, seed), schema)
     banded = printed.select("vid", *(f"p{i}" for i in range(n)), F.explode("bands").alias("band"))
-    left = banded.select("band", F.col("vid").alias("vid_a"), *(f"p{i}" for i in range(n))).repartition("band")
-    right = banded.select("band", F.col("vid").alias("vid_b"), *(F.col(f"p{i}").alias(f"q{i}") for i in range(n))).repartition("band")
-    close = left.hint("merge").join(right, ["band"]).where((F.col("vid_a") < F.col("vid_b")) & (_differing(n) <= most_differing(bands * band_rows, least)))
+    # Both sides are the same exchange, so it is written once; a band that many texts share is split by the skew join.
+    dealt = banded.repartition("band")
+    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.vid") < F.col("b.vid")) & (_differing("a", "b", n) <= most_differing(bands * band_rows, least))
+    close = dealt.alias("a").hint("merge").join(dealt.alias("b"), near).select(F.col("a.vid").alias("vid_a"), F.col("b.vid").alias("vid_b"))
     pairs = cut(close.select("vid_a", "vid_b").distinct())
     of = lambda s: texts.select(F.col("vid").alias(f"vid_{s}"), F.col("id").alias(f"rep_{s}"), F.col("h1").alias(f"h1_{s}"), F.col("h2").alias(f"h2_{s}"), F.col("content").alias(f"content_{s}"))
     both = pairs.join(of("a"), "vid_a").join(of("b"), "vid_b").where("h1_a <> h1_b or h2_a <> h2_b")

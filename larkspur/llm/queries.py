@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import p01_split, p02_personal, p03_neighbours, p04_scans, p05_format_copies, p06_near_copies, p07_pairs, p08_leaks, p10_quality
+from larkspur.llm import p01_split, p02_personal, p03_neighbours, p04_scans, p05_format_copies, p06_near_copies, p07_pairs, p08_leaks, p09_mix, p10_quality
 from larkspur.tables import spread, table
 
 
@@ -93,6 +93,14 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return p08_leaks.leaked_spans(_documents(spark, d), table(spark, d, "eval_cases"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return p09_mix.mix(_documents(spark, d, "source"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p09_mix.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_quality.not_prose(_documents(spark, d))
 
@@ -102,4 +110,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p4_found, p4_repaired, p5_found, p5_copies, p6_found, p6_groups, p7_found, p8_found, p8_spans, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p4_found, p4_repaired, p5_found, p5_copies, p6_found, p6_groups, p7_found, p8_found, p8_spans, p9_mix, p9_shares, p10_found, p10_statistics)}
