@@ -22,6 +22,8 @@ CONTENT_WEIGHT, NAME_WEIGHT, TYPE_WEIGHT = 4.0, 2.0, 1.0
 CANDIDATES = 50
 TOP = 5
 THRESHOLD = 0.5
+#: Scores are rounded to so many digits before they are ranked, so that ties don't hang on the order of summation.
+DIGITS = 9
 
 
 def postings(docs: DataFrame, content: str = "content") -> DataFrame:
@@ -69,7 +71,7 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int = CANDIDATES) -> DataFram
         idf = weight * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         rows = asked.select("query_id", "query").join(df, "query").withColumn("score", idf).join(named, "query")
         found = found.unionByName(rows.select("query_id", "chunk_id", "score"))
-    best = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("bm25_score"))
+    best = found.groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), DIGITS).alias("bm25_score"))
     readable = docs.where(F.col("content").rlike(r"\S")).select("chunk_id", "allowed_role")
     permitted = asked.select("query_id", F.explode("roles").alias("allowed_role")).distinct()
     ranked = best.join(readable, "chunk_id").join(permitted, ["query_id", "allowed_role"])
@@ -101,8 +103,8 @@ def _block_cosines(ids: list, matrix: np.ndarray, roles: list[list[str]], top: i
                 at = np.flatnonzero(ok)
                 if len(at) > top:
                     least = np.partition(cos[at, q], -top)[-top]
-                    at = at[cos[at, q] >= least]
-                best[q] = sorted([*best[q], *((-cos[i, q], chunk[i]) for i in at)])[:top]
+                    at = at[cos[at, q] >= least - 10.0**-DIGITS]
+                best[q] = sorted([*best[q], *((-round(float(cos[i, q]), DIGITS), chunk[i]) for i in at)])[:top]
         rows = [(ids[q], c, -s) for q, hits in enumerate(best) for s, c in hits]
         columns = list(zip(*rows)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64()))], ["query_id", "chunk_id", "ann_score"])
@@ -135,7 +137,7 @@ def knn(docs: DataFrame, queries: DataFrame, top: int = CANDIDATES, block: int =
         out = search(part) if out is None else out.unionByName(search(part))
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
-    return _ranked(out, "ann_score", "ann_rank", top)
+    return _ranked(out.withColumn("ann_score", F.round("ann_score", DIGITS)), "ann_score", "ann_rank", top)
 
 
 def rrf(first: DataFrame, second: DataFrame, constant: int = RRF, top: int | None = None) -> DataFrame:
@@ -145,7 +147,7 @@ def rrf(first: DataFrame, second: DataFrame, constant: int = RRF, top: int | Non
     """
     both = first.join(second, ["query_id", "chunk_id"], "full_outer")
     one = lambda r: F.when(F.col(r).isNotNull(), 1.0 / (constant + F.col(r))).otherwise(0.0)
-    fused = both.withColumn("rrf_score", one("bm25_rank") + one("ann_rank"))
+    fused = both.withColumn("rrf_score", F.round(one("bm25_rank") + one("ann_rank"), 12))
     w = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("ann_rank"), "chunk_id")
     ranked = fused.withColumn("rrf_rank", F.row_number().over(w))
     return ranked if top is None else ranked.where(F.col("rrf_rank") <= top)
