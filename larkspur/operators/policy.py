@@ -18,9 +18,9 @@ def assign_roles(documents: DataFrame, policy: DataFrame, file_name: str = "file
 
     The policy side is one row per file and left to the optimizer's size check for broadcasting.
     """
-    roles = document_roles(policy)
-    joined = documents.join(roles, documents[file_name] == roles["file_name"], "left").drop(roles["file_name"])
-    return joined.withColumn("document_role", F.coalesce("document_role", F.lit(fallback)))
+    roles = document_roles(policy).toDF("_policy_file", "_policy_role")
+    joined = documents.join(roles, F.col(file_name) == F.col("_policy_file"), "left")
+    return joined.withColumn("document_role", F.coalesce("_policy_role", F.lit(fallback))).drop("_policy_file", "_policy_role")
 
 
 def effective_permissions(users: DataFrame, permissions: DataFrame) -> DataFrame:

@@ -99,29 +99,30 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score
 # --- Retrieval -------------------------------------------------------------------------------------------------------
 
 
-@query(_SEARCH_SQL + "SELECT query_id, chunk_id, CAST(bm25_rank AS BIGINT) AS bm25_rank, CAST(ann_rank AS BIGINT) AS ann_rank, round(rrf_score, 8) AS rrf_score, CAST(rrf_rank AS BIGINT) AS rrf_rank FROM ranked WHERE rrf_rank <= 5")
+@query(_SEARCH_SQL + "SELECT query_id, chunk_id, CAST(coalesce(bm25_rank, 0) AS BIGINT) AS bm25_rank, CAST(coalesce(ann_rank, 0) AS BIGINT) AS ann_rank, rrf_score, CAST(rrf_rank AS BIGINT) AS rrf_rank FROM ranked WHERE rrf_rank <= 5")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Permission-scoped hybrid search: role filter, BM25, exact vectors, rank fusion, first five."""
+    """Permission-scoped hybrid search: role filter, BM25, exact vectors, rank fusion, first five. A missing rank is 0."""
     q = _questions(spark, d)
     found = search.rrf(search.bm25(_docs(spark, d), q), search.knn(_vectors(spark, d), q).drop("v"), top=search.TOP)
-    return found.select("query_id", "chunk_id", _long("bm25_rank").alias("bm25_rank"), _long("ann_rank").alias("ann_rank"), F.round("rrf_score", 8).alias("rrf_score"), _long("rrf_rank").alias("rrf_rank"))
+    rank = lambda c: _long(F.coalesce(c, F.lit(0))).alias(c)
+    return found.select("query_id", "chunk_id", rank("bm25_rank"), rank("ann_rank"), "rrf_score", rank("rrf_rank"))
 
 
-@query(_SEARCH_SQL + "SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score, CAST(bm25_rank AS BIGINT) AS bm25_rank FROM lex")
+@query(_SEARCH_SQL + "SELECT query_id, chunk_id, bm25_score, CAST(bm25_rank AS BIGINT) AS bm25_rank FROM lex")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(_docs(spark, d), _questions(spark, d, False)).select("query_id", "chunk_id", F.round("bm25_score", 6).alias("bm25_score"), _long("bm25_rank").alias("bm25_rank"))
+    return search.bm25(_docs(spark, d), _questions(spark, d, False)).select("query_id", "chunk_id", "bm25_score", _long("bm25_rank").alias("bm25_rank"))
 
 
-@query(_SEARCH_SQL + "SELECT query_id, chunk_id, round(ann_score, 6) AS ann_score, CAST(ann_rank AS BIGINT) AS ann_rank FROM sem")
+@query(_SEARCH_SQL + "SELECT query_id, chunk_id, ann_score, CAST(ann_rank AS BIGINT) AS ann_rank FROM sem")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn(_vectors(spark, d), _questions(spark, d)).select("query_id", "chunk_id", F.round("ann_score", 6).alias("ann_score"), _long("ann_rank").alias("ann_rank"))
+    return search.knn(_vectors(spark, d), _questions(spark, d)).select("query_id", "chunk_id", "ann_score", _long("ann_rank").alias("ann_rank"))
 
 
-@query(_SEARCH_SQL + "SELECT query_id, chunk_id, round(rrf_score, 8) AS rrf_score, CAST(rrf_rank AS BIGINT) AS rrf_rank FROM ranked")
+@query(_SEARCH_SQL + "SELECT query_id, chunk_id, rrf_score, CAST(rrf_rank AS BIGINT) AS rrf_rank FROM ranked")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     q = _questions(spark, d)
     found = search.rrf(search.bm25(_docs(spark, d), q), search.knn(_vectors(spark, d), q))
-    return found.select("query_id", "chunk_id", F.round("rrf_score", 8).alias("rrf_score"), _long("rrf_rank").alias("rrf_rank"))
+    return found.select("query_id", "chunk_id", "rrf_score", _long("rrf_rank").alias("rrf_rank"))
 
 
 _RERANK_SQL = (
