@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TTL_SECONDS = 900
 
 
+def _fold(key: str, order: str, ttl: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, written = None, 0.0
+        for b in batches:
+            hits = []
+            for k, piece, s in zip(b["_k"].to_pylist(), b["_piece"].to_pylist(), b["_s"].to_pylist()):
+                if (k, piece) != of:
+                    of, written = (k, piece), float("-inf")
+                hit = s - written < ttl
+                hits.append(hit)
+                if not hit:
+                    written = s
+            yield pa.RecordBatch.from_arrays([b["_k"], b["_o"], pa.array(hits, pa.bool_())], [key, order, "hit"])
+
+    return run
+
+
 def lookups(events: DataFrame, key: str, ts: str, order: str, ttl: int = TTL_SECONDS) -> DataFrame:
     """Each lookup with ``hit``: whether an entry was written less than ``ttl`` seconds before. A miss writes, a hit doesn't
-    refresh.
+    refresh. Rows with a null key or time are left out.
 
-    Whether a lookup writes depends on the one before, so a key's lookups form a chain; it is cut where the gap to the
-    previous lookup is at least the time to live, since no entry can reach across. Each piece between cuts is folded as
-    one sorted array, so a key of any length spreads over tasks piece by piece.
+    Whether a lookup writes depends on the one before, so a key's lookups form a chain; no entry reaches across a pause
+    of ``ttl``, so chains are cut there. The pauses are found among the occupied intervals of that length, which are
+    aggregated before any window. The pieces, not the keys, are dealt to the tasks, which stream them in order and hold
+    one time stamp. A piece without such a pause is one task's work, in one pass.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(ts, order)
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    timed = events.withColumn("_s", seconds)
-    gap = F.col("_s") - F.lag("_s").over(w)
-    cut = timed.withColumn("_piece", F.sum(F.when(gap < ttl, 0).otherwise(1)).over(w))
-    folded = cut.groupBy(key, "_piece").agg(F.sort_array(F.collect_list(F.struct("_s", F.col(order).alias("_o")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("written"), F.array().cast(f"array<struct<o:{dict(events.dtypes)[order]},hit:boolean>>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        hit = F.coalesce(row["_s"] - acc["written"] < ttl, F.lit(False))
-        return F.struct(F.when(hit, acc["written"]).otherwise(row["_s"]).alias("written"), F.concat(acc["out"], F.array(F.struct(row["_o"].alias("o"), hit.alias("hit")))).alias("out"))
-
-    done = folded.select(key, F.explode(F.aggregate("rows", start, step)["out"]).alias("e"))
-    return done.select(key, F.col("e.o").alias(order), F.col("e.hit").alias("hit"))
+    rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_o"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_s"))
+    rows = rows.withColumn("_b", F.floor(F.col("_s") / ttl))
+    spans = rows.groupBy("_k", "_b").agg(F.min("_s").alias("low"), F.max("_s").alias("high"))
+    w = Window.partitionBy("_k").orderBy("_b")
+    cut = F.when(F.col("low") - F.lag("high").over(w) < ttl, 0).otherwise(1)
+    pieces = spans.withColumn("_cut", cut).select("_k", "_b", F.sum("_cut").over(w).alias("_piece"))
+    dealt = rows.join(pieces, ["_k", "_b"]).repartition("_k", "_piece").sortWithinPartitions("_k", "_piece", "_s", "_o")
+    types = dict(events.dtypes)
+    return dealt.select("_k", "_o", "_s", "_piece").mapInArrow(_fold(key, order, ttl), f"`{key}` {types[key]}, `{order}` {types[order]}, hit boolean")
 
 
 def eligible(should_refine: Column) -> Column:

@@ -209,26 +209,37 @@ def is_near(new: str, kept: str, least: float = NEAR) -> bool:
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
+def _fresh(least: float):
+    @F.pandas_udf("array<boolean>")
+    def run(groups: pd.Series) -> pd.Series:
+        out = []
+        for keys in groups:
+            kept: list[str] = []
+            flags = []
+            for c in keys:
+                flags.append(not any(is_near(c, k, least) for k in kept))
+                if flags[-1]:
+                    kept.append(c)
+            out.append(flags)
+        return pd.Series(out)
+
+    return run
+
+
 def near_first(rows: DataFrame, order: str = "ord", least: float = NEAR) -> DataFrame:
     """Greedy removal of near duplicates inside (doc_id, heading, subheading): a chunk goes if a kept one is so similar.
 
     ``rows``: doc_id, heading, subheading, content, ``order`` and any other columns. The fold needs the chunks of one
-    section of one document together, never those of several documents.
+    section of one document together, never those of several documents; many sections share one Arrow batch.
     """
-    keyed = rows.select("*", T.dedup_key("heading").alias("_h"), T.dedup_key("subheading").alias("_s"), T.dedup_key("content").alias("_c"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept: list[str] = []
-        keep = []
-        for c in pdf["_c"]:
-            fresh = not any(is_near(c, k, least) for k in kept)
-            keep.append(fresh)
-            if fresh:
-                kept.append(c)
-        return pdf[keep]
-
-    return keyed.groupBy("doc_id", "_h", "_s").applyInPandas(fold, keyed.schema).drop("_h", "_s", "_c")
+    columns = rows.columns
+    keyed = rows.select("doc_id", T.dedup_key("heading").alias("_h"), T.dedup_key("subheading").alias("_s"), F.struct(F.col(order).alias("_o"), T.dedup_key("content").alias("_c"), F.struct(*columns).alias("_row")).alias("_e"))
+    groups = keyed.groupBy("doc_id", "_h", "_s").agg(F.array_sort(F.collect_list("_e"), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)).alias("_g"))
+    single = F.size("_g") == 1
+    alone = groups.where(single).select(F.element_at("_g", 1)["_row"].alias("_row"))
+    several = groups.where(~single).withColumn("_keep", _fresh(least)(F.transform("_g", lambda e: e["_c"])))
+    kept = several.select(F.explode(F.arrays_zip("_g", "_keep")).alias("_z")).where("_z._keep").select(F.col("_z._g._row").alias("_row"))
+    return alone.union(kept).select("_row.*")
 
 
 def standard_chunks(chunks: DataFrame) -> DataFrame:

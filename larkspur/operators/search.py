@@ -1,7 +1,8 @@
 """Hybrid retrieval for batches of questions: BM25, vector search, fusion, reranking and the relevance gate.
 
-Every search filters by role before it ranks. Questions are a stated set that meets all permitted rows: BM25 through
-an inverted index (equi-join on terms), vectors in blocks of questions.
+Every search filters by role before it ranks. Questions are a stated set that meets all permitted rows, in blocks of
+a fixed number: a task scores its own rows against a block and passes on its best rows, so neither postings nor
+vectors are shuffled.
 """
 
 from __future__ import annotations
@@ -26,32 +27,105 @@ THRESHOLD = 0.5
 DIGITS = 9
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``queries``: query_id, query. Returns query_id, term, once for each occurrence."""
+    return queries.select("query_id", F.explode(T.tokens("query")).alias("term"))
+
+
 def postings(docs: DataFrame, content: str = "content") -> DataFrame:
-    """``docs``: chunk_id and content. Returns term, chunk_id, tf, length: one row per term of a chunk."""
+    """``docs``: chunk_id and content. Returns term, chunk_id, tf, length: the inverted index, for storing."""
     listed = docs.select("chunk_id", T.tokens(content).alias("t")).withColumn("length", F.size("t"))
     return listed.select("chunk_id", "length", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")).select("term", "chunk_id", "tf", "length")
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``queries``: query_id, query. Returns query_id, term, once for each occurrence."""
-    return queries.select("query_id", F.explode(T.tokens("query")).alias("term"))
+def term_weights(docs: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
+    """(inverse document frequency of the terms, average length) over all rows; one partially aggregated row a term."""
+    t = docs.select(T.tokens("content").alias("t"))
+    n, average = t.agg(F.count("*"), F.avg(F.size("t"))).first()
+    seen = t.select(F.explode(F.array_distinct(F.filter("t", lambda x: x.isin(terms)))).alias("term")).groupBy("term").count().collect()
+    return {r["term"]: float(np.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5))) for r in seen}, float(average or 0.0)
 
 
-def content_bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, chunk_id, bm25 of the content. Statistics cover all rows of ``docs``, whoever may read them.
+class _Best:
+    """The best ``top`` permitted rows of a task for each of a block of questions."""
 
-    Only the postings of the questions' terms are joined. A frequent term spreads over its chunks' tasks, since the
-    sums are partially aggregated by (query, chunk).
+    def __init__(self, ids: list[str], roles: list[list[str]], top: int):
+        self.ids, self.roles, self.top = ids, [frozenset(r) for r in roles], top
+        self.best: list[list[tuple[float, str]]] = [[] for _ in ids]
+
+    def add(self, scored: np.ndarray, chunk: list[str], role: list[str], usable: np.ndarray) -> None:
+        codes = {r: i for i, r in enumerate(dict.fromkeys(role))}
+        code = np.array([codes[r] for r in role])
+        for q, allowed in enumerate(self.roles):
+            at = np.flatnonzero(np.isin(code, [codes[r] for r in allowed if r in codes]) & usable[:, q])
+            if len(at) > self.top:
+                least = np.partition(scored[at, q], -self.top)[-self.top]
+                at = at[scored[at, q] >= least - 10.0**-DIGITS]
+            self.best[q] = sorted([*self.best[q], *((-round(float(scored[i, q]), DIGITS), chunk[i]) for i in at)])[: self.top]
+
+    def rows(self, score: str) -> pa.RecordBatch:
+        rows = [(self.ids[q], c, -s) for q, hits in enumerate(self.best) for s, c in hits]
+        columns = list(zip(*rows)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64()))], ["query_id", "chunk_id", score])
+
+
+def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
+    """A stated question set in blocks of a fixed number, one partition at a time."""
+    part: list = []
+    for r in queries.toLocalIterator():
+        part.append(r)
+        if len(part) == size:
+            yield part
+            part = []
+    if part:
+        yield part
+
+
+def _block_bm25(block: list, idf: dict[str, float], average: float, k1: float, b: float, top: int):
+    terms = {t: i for i, t in enumerate(sorted(idf))}
+    asked = np.zeros((len(terms), len(block)))
+    for q, r in enumerate(block):
+        for t in r["terms"]:
+            if t in terms:
+                asked[terms[t], q] += idf[t]
+    ids, roles = [str(r["query_id"]) for r in block], [r["roles"] for r in block]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(ids, roles, top)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                listed = part["t"].to_pylist()
+                tf = np.zeros((len(listed), len(terms)))
+                for i, found in enumerate(listed):
+                    for t in found:
+                        tf[i, terms[t]] += 1
+                length = np.asarray(part["length"], float)[:, None]
+                scored = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(average, 1e-300)))) @ asked
+                best.add(CONTENT_WEIGHT * scored, part["chunk_id"].to_pylist(), part["allowed_role"].to_pylist(), scored > 0)
+        yield best.rows("score")
+
+    return run
+
+
+def content_bm25(docs: DataFrame, queries: DataFrame, top: int, k1: float = K1, b: float = B, block: int = 256) -> DataFrame:
+    """query_id, chunk_id, score: the weighted BM25 of the content, the best ``top`` permitted rows of each task.
+
+    Statistics cover all rows, whoever may read them. Questions go to the tasks in blocks of a fixed number, so no
+    posting is shuffled: a task scores its own rows against a block and passes on (questions x top) rows. Tokens are cut
+    in the JVM, and only the questions' terms reach Python.
     """
-    wanted = query_terms(queries)
-    index = postings(docs)
-    size = docs.select(F.count("*").alias("n_docs"), F.avg(F.size(T.tokens("content"))).alias("avg_length"))
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    joined = hits.join(df, "term").join(F.broadcast(size))
-    return joined.withColumn("part", part).join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"))
+    schema, out = "query_id string, chunk_id string, score double", None
+    for part in _blocks(queries.select("query_id", "roles", T.tokens("query").alias("terms")), block):
+        idf, average = term_weights(docs, sorted({t for r in part for t in r["terms"]}))
+        if not idf:
+            continue
+        roles = sorted({x for r in part for x in r["roles"]})
+        rows = docs.where(F.col("allowed_role").isin(roles) & F.col("content").rlike(r"\S")).select(F.col("chunk_id").cast("string").alias("chunk_id"), "allowed_role", T.tokens("content").alias("all"))
+        rows = rows.select("chunk_id", "allowed_role", F.filter("all", lambda x: x.isin(list(idf))).alias("t"), F.size("all").alias("length"))
+        found = rows.mapInArrow(_block_bm25(part, idf, average, k1, b, top), schema)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top: int = CANDIDATES) -> DataFrame:
@@ -59,23 +133,20 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int = CANDIDATES) -> DataFram
 
     Best field per row: the content's BM25 times 4, file name (times 2) and file type, which match as whole values only
     and then score their inverse document frequency. Returns query_id, chunk_id, bm25_score, bm25_rank of the permitted
-    rows with readable content; ties go to the smaller id.
+    rows with readable content; ties go to the smaller id. Questions without roles or words find nothing.
     """
     asked = queries.where((F.size("roles") > 0) & (F.trim("query") != ""))
-    content = content_bm25(docs, asked).select("query_id", "chunk_id", (CONTENT_WEIGHT * F.col("bm25")).alias("score"))
+    found = content_bm25(docs, asked, top)
     size = docs.select(F.count("*").alias("n_docs"))
-    found = content
+    readable = docs.where(F.col("content").rlike(r"\S"))
+    permitted = asked.select("query_id", "query", F.explode("roles").alias("allowed_role")).distinct()
     for field, weight in (("file_name", NAME_WEIGHT), ("file_type", TYPE_WEIGHT)):
-        named = docs.select("chunk_id", F.col(field).alias("query"))
-        df = named.groupBy("query").agg(F.count("*").alias("df")).join(F.broadcast(size))
-        idf = weight * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        rows = asked.select("query_id", "query").join(df, "query").withColumn("score", idf).join(named, "query")
+        df = docs.groupBy(F.col(field).alias("query")).agg(F.count("*").alias("df")).join(permitted.select("query").distinct(), "query").join(F.broadcast(size))
+        idf = F.lit(weight) * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        rows = permitted.join(df.select("query", idf.alias("score")), "query").join(readable.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col(field).alias("query"), "allowed_role"), ["query", "allowed_role"])
         found = found.unionByName(rows.select("query_id", "chunk_id", "score"))
     best = found.groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), DIGITS).alias("bm25_score"))
-    readable = docs.where(F.col("content").rlike(r"\S")).select("chunk_id", "allowed_role")
-    permitted = asked.select("query_id", F.explode("roles").alias("allowed_role")).distinct()
-    ranked = best.join(readable, "chunk_id").join(permitted, ["query_id", "allowed_role"])
-    return _ranked(ranked, "bm25_score", "bm25_rank", top).select("query_id", "chunk_id", "bm25_score", "bm25_rank")
+    return _ranked(best, "bm25_score", "bm25_rank", top).select("query_id", "chunk_id", "bm25_score", "bm25_rank")
 
 
 def _ranked(rows: DataFrame, score: str, rank: str, top: int) -> DataFrame:
@@ -83,31 +154,18 @@ def _ranked(rows: DataFrame, score: str, rank: str, top: int) -> DataFrame:
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= top)
 
 
-def _block_cosines(ids: list, matrix: np.ndarray, roles: list[list[str]], top: int):
-    """Scores one block of questions against all rows of a task; each task offers its best ``top`` per question."""
-    role_sets = [frozenset(r) for r in roles]
+def _block_cosines(block: list, matrix: np.ndarray, top: int):
+    ids, roles = [str(r["query_id"]) for r in block], [r["roles"] for r in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, str]]] = [[] for _ in ids]
+        best = _Best(ids, roles, top)
         for b in batches:
-            dims = matrix.shape[1]
-            v = np.asarray(b["v"].flatten(), np.float64).reshape(-1, dims)
+            v = np.asarray(b["v"].flatten(), np.float64).reshape(-1, matrix.shape[1])
             size = np.sqrt((v * v).sum(1))
             size[size == 0] = np.nan
             cos = (v / size[:, None]) @ matrix.T
-            chunk, role = b["chunk_id"].to_pylist(), b["allowed_role"].to_pylist()
-            codes = {r: i for i, r in enumerate(dict.fromkeys(role))}
-            code = np.array([codes[r] for r in role])
-            for q, allowed in enumerate(role_sets):
-                ok = np.isin(code, [codes[r] for r in allowed if r in codes]) & ~np.isnan(cos[:, q])
-                at = np.flatnonzero(ok)
-                if len(at) > top:
-                    least = np.partition(cos[at, q], -top)[-top]
-                    at = at[cos[at, q] >= least - 10.0**-DIGITS]
-                best[q] = sorted([*best[q], *((-round(float(cos[i, q]), DIGITS), chunk[i]) for i in at)])[:top]
-        rows = [(ids[q], c, -s) for q, hits in enumerate(best) for s, c in hits]
-        columns = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64()))], ["query_id", "chunk_id", "ann_score"])
+            best.add(cos, b["chunk_id"].to_pylist(), b["allowed_role"].to_pylist(), ~np.isnan(cos))
+        yield best.rows("ann_score")
 
     return run
 
@@ -119,25 +177,18 @@ def knn(docs: DataFrame, queries: DataFrame, top: int = CANDIDATES, block: int =
     so the shuffle carries (tasks x questions x top) rows. Rows and questions without a usable vector take no part.
     Returns query_id, chunk_id, ann_score, ann_rank; ties go to the smaller id.
     """
-    asked = queries.where((F.size("roles") > 0) & (F.size("v") > 0)).select("query_id", "v", "roles")
-    schema = "query_id string, chunk_id string, ann_score double"
-    out, part = None, []
-
-    def search(rows: list) -> DataFrame:
-        matrix = np.array([r["v"] for r in rows], float)
-        matrix /= np.maximum(np.sqrt((matrix * matrix).sum(1)), 1e-300)[:, None]
-        usable = docs.where((F.size("v") == matrix.shape[1]) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))).where(F.col("allowed_role").isin(sorted({x for r in rows for x in r["roles"]})))
-        return usable.select(F.col("chunk_id").cast("string").alias("chunk_id"), "v", "allowed_role").mapInArrow(_block_cosines([str(r["query_id"]) for r in rows], matrix, [r["roles"] for r in rows], top), schema)
-
-    for r in asked.toLocalIterator():
-        part.append(r)
-        if len(part) == block:
-            out, part = search(part) if out is None else out.unionByName(search(part)), []
-    if part:
-        out = search(part) if out is None else out.unionByName(search(part))
+    usable_q = (F.size("roles") > 0) & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & F.exists("v", lambda x: x != 0)
+    schema, out = "query_id string, chunk_id string, ann_score double", None
+    for part in _blocks(queries.where(usable_q).select("query_id", "v", "roles"), block):
+        matrix = np.array([r["v"] for r in part], float)
+        matrix /= np.sqrt((matrix * matrix).sum(1))[:, None]
+        roles = sorted({x for r in part for x in r["roles"]})
+        rows = docs.where(F.col("allowed_role").isin(roles) & (F.size("v") == matrix.shape[1])).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+        found = rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), "v", "allowed_role").mapInArrow(_block_cosines(part, matrix, top), schema)
+        out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
-    return _ranked(out.withColumn("ann_score", F.round("ann_score", DIGITS)), "ann_score", "ann_rank", top)
+    return _ranked(out, "ann_score", "ann_rank", top)
 
 
 def rrf(first: DataFrame, second: DataFrame, constant: int = RRF, top: int | None = None) -> DataFrame:
