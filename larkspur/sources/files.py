@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from larkspur.functions import text as T
 TYPES = {".pdf": "pdf", ".docx": "docx", ".pptx": "pptx"}
 ELEMENT = "doc_id string, ord int, text string, element_type string, heading_level int, page int, style string, paragraph_index int, slide int, shape_index int, is_title boolean, font_size double"
 _COLUMNS = [c.split()[0] for c in ELEMENT.split(", ")]
+_ARROW = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for c, t in (x.split() for x in ELEMENT.split(", "))])
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -84,24 +85,23 @@ def pptx_elements(content: bytes) -> list[dict]:
 
 
 def elements(files: DataFrame, pdf: Callable[[bytes], list[dict]] | None = None) -> DataFrame:
-    """Layout elements of files (doc_id, file_type, content); one file is parsed by one call, batches stream.
+    """Layout elements of files (doc_id, file_type, content); one file is parsed by one call and comes out as one batch.
 
     ``pdf`` parses PDF content to the same dictionaries; without one, PDF files are an error, as is a file that can't
     be read.
     """
     readers = {"docx": docx_elements, "pptx": pptx_elements, "pdf": pdf}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, kind, content in zip(b["doc_id"], b["file_type"], b["content"]):
+            for doc, kind, content in zip(b["doc_id"].to_pylist(), b["file_type"].to_pylist(), b["content"]):
                 read = readers.get(kind)
                 if read is None:
                     raise ValueError(f"no reader for files of type {kind}")
-                rows += [{"doc_id": doc, "ord": i, **e} for i, e in enumerate(read(bytes(content)))]
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int32" for c in ("ord", "heading_level", "page", "paragraph_index", "slide", "shape_index")} | {"is_title": "boolean"})
+                rows = [{**dict.fromkeys(_COLUMNS), "doc_id": doc, "ord": i, **e} for i, e in enumerate(read(content.as_py()))]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return files.select("doc_id", "file_type", "content").mapInPandas(run, ELEMENT)
+    return files.select("doc_id", "file_type", "content").mapInArrow(run, ELEMENT)
 
 
 def full_text(parts: DataFrame) -> DataFrame:
