@@ -203,8 +203,9 @@ def class_pairs(rows: DataFrame, members: DataFrame, least: float = LEAST, bands
     schema = "vid long, " + "".join(f"p{i} long, " for i in range(n)) + "bands array<long>"
     printed = texts.select("vid", "content").mapInArrow(_prints(bands, band_rows, shingle, seed), schema)
     banded = printed.select("vid", *(f"p{i}" for i in range(n)), F.explode("bands").alias("band"))
-    # Both sides are the same exchange, so it is written once; a band that many texts share is split by the skew join.
-    dealt = banded.repartition("band")
+    # Both sides plan to the same exchange, so it is written once. It is left to the join, not asked for by repartition():
+    # only such exchanges are split by the skew join where many texts share a band.
+    dealt = banded
     near = (F.col("a.band") == F.col("b.band")) & (F.col("a.vid") < F.col("b.vid")) & (_differing("a", "b", n) <= most_differing(bands * band_rows, least))
     close = dealt.alias("a").hint("merge").join(dealt.alias("b"), near).select(F.col("a.vid").alias("vid_a"), F.col("b.vid").alias("vid_b"))
     pairs = cut(close.select("vid_a", "vid_b").distinct())
