@@ -104,3 +104,38 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def with_columns(rows: DataFrame, **types: str) -> DataFrame:
     """Schema evolution: missing columns are added as nulls of the given types."""
     return rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in types.items() if c not in rows.columns))
+
+
+def _scope(user: str = "user_id", session: str = "session_id", scope: str = "scope_id") -> Column:
+    return F.when(F.coalesce(F.trim(scope), F.lit("")) != "", F.to_json(F.array(user, session, scope)))
+
+
+def lexical(turns: DataFrame, queries: DataFrame, top: int = HISTORY) -> DataFrame:
+    """BM25 over questions and answers of long-term memory, the better field counts: query_id, chunk_id, bm25_score.
+
+    ``queries``: query_id, query, user_id, session_id, scope_id. Only turns of the same user, session and scope come out,
+    and they are chosen before ranking; a blank scope sees nothing.
+    """
+    asked = queries.where(_scope().isNotNull()).select("query_id", "query", F.array(_scope()).alias("roles"))
+    found = None
+    for field in ("user_message", "bot_response"):
+        docs = turns.select(F.col("turn_id").alias("chunk_id"), F.col(field).alias("content"), _scope().alias("allowed_role"))
+        part = search.content_bm25(docs, asked, top)
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("query_id", "chunk_id").agg((F.max("score") / search.CONTENT_WEIGHT).alias("bm25_score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "chunk_id")
+    return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
+
+
+def semantic(turns: DataFrame, queries: DataFrame, vector: str = "combined_embedding", top: int = HISTORY) -> DataFrame:
+    """Vector search in long-term memory: query_id, chunk_id, cosine. ``queries`` also need ``v``."""
+    asked = queries.where(_scope().isNotNull()).select("query_id", "v", F.array(_scope()).alias("roles"))
+    docs = turns.select(F.col("turn_id").alias("chunk_id"), F.col(vector).alias("v"), _scope().alias("allowed_role"))
+    return search.knn(docs, asked, top).select("query_id", "chunk_id", F.col("ann_score").alias("cosine"))
+
+
+def member_tags(clusters: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``clusters``: cluster_id, chunk_ids; ``chunks``: chunk_id, tags. The members' tags in order of first sight."""
+    listed = clusters.select("cluster_id", F.posexplode("chunk_ids").alias("i", "chunk_id")).join(chunks.select("chunk_id", F.posexplode("tags").alias("j", "tag")), "chunk_id")
+    first = listed.groupBy("cluster_id", "tag").agg(F.min(F.struct("i", "j")).alias("at"))
+    return first.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]).alias("tags"))
