@@ -152,13 +152,19 @@ def sections(elements: list[dict]) -> list[dict]:
     return out
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in the session's number of partitions. The folds behind cost far more than their bytes tell, so the
+    number is given: adaptive execution would merge partitions by size and leave few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 SECTION = "heading:string,subheading:string,body:string,pages:array<int>"
 
 
 def build_sections(elements: DataFrame) -> DataFrame:
     """``elements``: doc_id, ord, text, element_type, heading_level, page. Returns doc_id, section_no and the section."""
     e = F.struct("ord", "text", "element_type", "heading_level", "page")
-    docs = elements.groupBy("doc_id").agg(F.sort_array(F.collect_list(e)).alias("elements"))
+    docs = _dealt(elements, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(e)).alias("elements"))
 
     @F.pandas_udf(f"array<struct<{SECTION}>>")
     def run(s: pd.Series) -> pd.Series:
@@ -201,12 +207,32 @@ def exact_first(rows: DataFrame, scope: list[str], keys: list[str], order: list[
     return keyed.withColumn("_place", place).where("_place = 1").drop("_place", *named)
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel: one addition of long integers per character of ``b``."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    state = full
+    for c in b:
+        hit = state & places.get(c, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(a) - state.bit_count()
+
+
 def is_near(new: str, kept: str, least: float = NEAR) -> bool:
-    """Similarity of two normalised chunks of at least ``least``; cheap upper bounds first."""
-    if not new or not kept or 2 * min(len(new), len(kept)) < least * (len(new) + len(kept)):
+    """Similarity of two normalised chunks of at least ``least``.
+
+    Upper bounds come first: lengths, equal characters, and the longest common subsequence, of which the blocks that the
+    ratio counts are a part.
+    """
+    both = len(new) + len(kept)
+    if not new or not kept or 2 * min(len(new), len(kept)) < least * both:
         return False
+    if new == kept:
+        return True
     m = SequenceMatcher(None, new, kept)
-    return m.quick_ratio() >= least and m.ratio() >= least
+    return m.quick_ratio() >= least and 2 * common_length(new, kept) >= least * both and m.ratio() >= least
 
 
 def _fresh(least: float):
@@ -234,7 +260,7 @@ def near_first(rows: DataFrame, order: str = "ord", least: float = NEAR) -> Data
     """
     columns = rows.columns
     keyed = rows.select("doc_id", T.dedup_key("heading").alias("_h"), T.dedup_key("subheading").alias("_s"), F.struct(F.col(order).alias("_o"), T.dedup_key("content").alias("_c"), F.struct(*columns).alias("_row")).alias("_e"))
-    groups = keyed.groupBy("doc_id", "_h", "_s").agg(F.array_sort(F.collect_list("_e"), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)).alias("_g"))
+    groups = _dealt(keyed, "doc_id", "_h", "_s").groupBy("doc_id", "_h", "_s").agg(F.array_sort(F.collect_list("_e"), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)).alias("_g"))
     single = F.size("_g") == 1
     alone = groups.where(single).select(F.element_at("_g", 1)["_row"].alias("_row"))
     several = groups.where(~single).withColumn("_keep", _fresh(least)(F.transform("_g", lambda e: e["_c"])))
