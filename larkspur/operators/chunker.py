@@ -8,6 +8,7 @@ rows of several documents in one task.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -207,32 +208,40 @@ def exact_first(rows: DataFrame, scope: list[str], keys: list[str], order: list[
     return keyed.withColumn("_place", place).where("_place = 1").drop("_place", *named)
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel: one addition of long integers per character of ``b``."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    state = full
-    for c in b:
-        hit = state & places.get(c, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
+class Known:
+    """A kept chunk with what comparisons with it share: how often its characters occur, and where."""
 
+    def __init__(self, text: str):
+        self.text, self.often = text, Counter(text)
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.places[c] = self.places.get(c, 0) | 1 << i
 
-def is_near(new: str, kept: str, least: float = NEAR) -> bool:
+    def common_length(self, other: str) -> int:
+        """Length of the longest common subsequence, bit-parallel: one addition of long integers per character."""
+        full = state = (1 << len(self.text)) - 1
+        get = self.places.get
+        for c in other:
+            hit = state & get(c, 0)
+            state = (state + hit | state - hit) & full
+        return len(self.text) - state.bit_count()
+
+
+def is_near(new: str, kept: Known, often: Counter | None = None, least: float = NEAR) -> bool:
     """Similarity of two normalised chunks of at least ``least``.
 
     Upper bounds come first: lengths, equal characters, and the longest common subsequence, of which the blocks that the
     ratio counts are a part.
     """
-    both = len(new) + len(kept)
-    if not new or not kept or 2 * min(len(new), len(kept)) < least * both:
+    both = len(new) + len(kept.text)
+    if not new or not kept.text or 2 * min(len(new), len(kept.text)) < least * both:
         return False
-    if new == kept:
+    if new == kept.text:
         return True
-    m = SequenceMatcher(None, new, kept)
-    return m.quick_ratio() >= least and 2 * common_length(new, kept) >= least * both and m.ratio() >= least
+    needed = least * both / 2 - 1e-9
+    if ((often or Counter(new)) & kept.often).total() < needed:
+        return False
+    return kept.common_length(new) >= needed and SequenceMatcher(None, new, kept.text).ratio() >= least
 
 
 def _fresh(least: float):
@@ -240,12 +249,13 @@ def _fresh(least: float):
     def run(groups: pd.Series) -> pd.Series:
         out = []
         for keys in groups:
-            kept: list[str] = []
+            kept: list[Known] = []
             flags = []
             for c in keys:
-                flags.append(not any(is_near(c, k, least) for k in kept))
+                often = Counter(c)
+                flags.append(not any(is_near(c, k, often, least) for k in kept))
                 if flags[-1]:
-                    kept.append(c)
+                    kept.append(Known(c))
             out.append(flags)
         return pd.Series(out)
 
