@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-METRICS = ("answer_relevancy", "faithfulness", "contextual_relevancy")
-REFERENCE_METRICS = ("contextual_precision", "contextual_recall", "correctness")
+# Names of the metrics that every case has, and of those that need a reference answer.
+METRICS = ("Faithfulness", "Answer Relevancy", "Contextual Relevancy")
+REFERENCE_METRICS = ("Contextual Precision", "Contextual Recall", "Answer Correctness [GEval]")
 
 
 def recall_at_k(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -31,6 +32,6 @@ def latest_results(results: DataFrame, columns: list[str], n: int = 10) -> DataF
 def metric_rows(has_reference: Column, judge=None) -> Column:
     """Metrics of a case: those that need a reference are skipped without one. ``judge``: name to score column."""
     score = judge or (lambda name: F.lit(None).cast("double"))
-    rows = [F.struct(F.lit(m).alias("name"), F.lit("scored").alias("status"), score(m).alias("score")) for m in METRICS]
-    rows += [F.struct(F.lit(m).alias("name"), F.when(has_reference, "scored").otherwise("skipped").alias("status"), F.when(has_reference, score(m)).alias("score")) for m in REFERENCE_METRICS]
+    rows = [F.struct(F.lit(m).alias("name"), F.lit("completed").alias("status"), score(m).alias("score")) for m in METRICS]
+    rows += [F.struct(F.lit(m).alias("name"), F.when(has_reference, "completed").otherwise("skipped").alias("status"), F.when(has_reference, score(m)).alias("score")) for m in REFERENCE_METRICS]
     return F.array(*rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 
 # Intents that need no retrieval.
-SMALL_TALK = ("greeting", "farewell", "thanks", "small_talk", "chitchat", "acknowledgement")
+SMALL_TALK = ("greeting", "farewell", "rapport_smalltalk", "gratitude_ack", "apology_ack", "offtopic_query")
 GENERIC = "generic_query"
 # Answers that need no model.
 LOW_RELEVANCE = "No passage that you may read answers this question well enough."
@@ -58,7 +58,7 @@ def route_retrieval(passed: Column) -> Column:
 def fallback(reason: Column, intent: Column, generated: Column) -> Column:
     """Answer without retrieval: fixed texts for failed retrievals, else the model's, else one for the intent."""
     given = F.when(F.coalesce(F.trim(generated), F.lit("")) != "", generated)
-    fixed = F.when(intent == "greeting", "Hello. What would you like to know?").when(intent == "farewell", "Goodbye.").when(intent == "thanks", "You are welcome.").otherwise("How can I help with the documents?")
+    fixed = F.when(intent == "greeting", "Hello. What would you like to know?").when(intent == "farewell", "Goodbye.").when(intent == "gratitude_ack", "You are welcome.").when(intent == "apology_ack", "No harm done.").otherwise("How can I help with the documents?")
     return F.when(reason == "low_relevance", LOW_RELEVANCE).when(reason == "retrieval_error", RETRIEVAL_ERROR).otherwise(F.coalesce(given, fixed))
 
 
@@ -72,10 +72,13 @@ def synthesized(n_chunks: Column, context: Column, generated: Column) -> Column:
     return F.when((F.coalesce(n_chunks, F.lit(0)) == 0) | (F.coalesce(F.trim(context), F.lit("")) == ""), NO_CONTEXT).otherwise(F.coalesce(given, F.lit(FAILED)))
 
 
-def error_outcome(name: Column) -> Column:
-    """Outcome label of an error's class name."""
+def error_outcome(name: Column, status_code: Column | None = None) -> Column:
+    """Outcome label of an error's class name and, where there is one, its status code."""
     low = F.lower(F.coalesce(name, F.lit("")))
-    return F.when(low.contains("timeout"), "timeout").when(low.contains("ratelimit") | low.contains("rate_limit") | low.contains("toomanyrequests") | low.contains("resourceexhausted"), "rate_limited").otherwise("error")
+    limited = low.contains("ratelimit") | low.contains("resourceexhausted")
+    if status_code is not None:
+        limited = limited | F.coalesce(status_code == 429, F.lit(False))
+    return F.when(low.contains("timeout"), "timeout").when(limited, "rate_limited").otherwise("error")
 
 
 def extractor(file_type: Column) -> Column:

@@ -470,7 +470,7 @@ def freshness_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN event_type IN ('signup', 'click') THEN 'small_talk' ELSE 'knowledge' END AS route, CASE WHEN value > 10 THEN 'answer' ELSE 'retrieve' END AS cache_route FROM events")
 def route_intent(spark: SparkSession, d: str) -> DataFrame:
-    intent = F.when(F.col("event_type") == "signup", "greeting").when(F.col("event_type") == "click", "thanks").otherwise(F.col("event_type"))
+    intent = F.when(F.col("event_type") == "signup", "greeting").when(F.col("event_type") == "click", "gratitude_ack").otherwise(F.col("event_type"))
     return table(spark, d, "events").select("event_id", routing.route_intent(intent).alias("route"), routing.route_cache(F.col("value") > 10).alias("cache_route"))
 
 
@@ -580,4 +580,4 @@ def latest_results(spark: SparkSession, d: str) -> DataFrame:
 def metric_status(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "eval_cases").select("id", evaluation.metric_rows(F.col("expected_output").isNotNull()).alias("m"))
     count = lambda s: _long(F.size(F.filter("m", lambda x: x["status"] == s)))
-    return m.select("id", count("scored").alias("scored"), count("skipped").alias("skipped"))
+    return m.select("id", count("completed").alias("scored"), count("skipped").alias("skipped"))
