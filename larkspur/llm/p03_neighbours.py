@@ -1,9 +1,9 @@
-"""Problem 3: the most similar vectors of every vector, by shifted space-filling curves.
+"""Problem 3: the most similar vectors of every vector, by overlapping cells.
 
-Every usable vector is scaled to length 1, projected onto a few random directions, shifted and put on a
-Hilbert curve; this is done for several curves. Each curve's rows are range-partitioned by their key, and every
-row is compared (exact cosine) with the rows next to it in key order. The neighbours that the curves propose are
-merged and the best k are kept.
+Every usable vector is scaled to length 1; equal vectors are searched once. A hashed sample of the vectors are centres,
+so there are more of them where vectors are dense, and every vector goes to the cells of its nearest few centres. All
+vectors of a cell are compared in blocks (exact cosine), whatever their number; the best k of each cell are merged and
+the best k of all are kept. Only pairs without a common cell are missed.
 
 Defined results: a vector that is null, of another length, all zero or holding NaN or infinity is left out, as is
 a row with a null id. Repeated rows count once (the smallest by content if an id comes with several vectors). Ties
@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.skew import join_by_key
 from larkspur.session import cut
 
 DIMENSIONS = 64
 K = 5
-CURVES = 12
-AXES = 12
-BITS = 5
-WINDOW = 32
-#: Places that a window offers beyond k, and cosine that it allows for, as it compares 8-bit vectors.
-SPARE = 4
-ROUGH = 0.02
+#: Vectors a centre, cells a vector, and centres that the driver takes at most (beyond these, cells grow).
+PER_CENTRE = 256
+CELLS = 6
+MOST_CENTRES = 65_536
+#: Cosine that a comparison in single precision allows for.
+ROUGH = 2e-6
 TILE = 512
 SEED = 20240607
 
@@ -94,100 +94,134 @@ def _unit(dims: int):
     return run
 
 
-def _on_curves(dims: int, curves: int, axes: int, bits: int, seed: int):
+def _in_cells(dims: int, centres: dict[str | None, np.ndarray], cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = np.frombuffer(b"".join(b["unit"].to_pylist()), np.float32).reshape(-1, dims)
-            keys = curve_keys(unit, curves, axes, bits, seed)
-            rough = pa.array([r.tobytes() for r in np.rint(unit * 127).astype(np.int8)], pa.binary())
-            for c in range(curves):
-                yield pa.RecordBatch.from_arrays([b["collection"], pa.array(np.full(len(unit), c, np.int32)), pa.array(keys[:, c]), b["vid"], rough], ["collection", "curve", "key", "vid", "rough"])
+            of = np.array(b["collection"].to_pylist(), object)
+            for collection in set(of):
+                rows = np.flatnonzero(of == collection)
+                at = pa.array(rows)
+                own = centres.get(collection)
+                near = np.zeros((len(rows), 1), np.int64)
+                if own is not None and len(own) > cells:
+                    unit = _units(b["unit"].take(at), dims)
+                    step = max(1, (1 << 24) // len(own))
+                    near = np.concatenate([np.argpartition(-(unit[i : i + step] @ own.T), cells - 1, axis=1)[:, :cells] for i in range(0, len(rows), step)])
+                for c in range(near.shape[1]):
+                    yield pa.RecordBatch.from_arrays([b["collection"].take(at), pa.array(near[:, c].astype(np.int32)), b["vid"].take(at), b["unit"].take(at)], ["collection", "cell", "vid", "unit"])
 
     return run
 
 
-def window_pairs(vid: np.ndarray, rough: np.ndarray, old: int, window: int, best: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that lie at most ``window`` places apart, of which one is among the ``best`` of the other's window.
+def _units(column: pa.Array, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dims)
 
-    The first ``old`` rows have been compared among themselves before; only pairs with a later row come out.
-    """
-    v = rough.astype(np.float32)
-    v /= np.sqrt((v * v).sum(1))[:, None]
-    n, out = len(v), []
-    for i in range(0, n, TILE):
-        lo, hi, top = max(0, i - window), min(n, i + TILE), min(n, i + TILE + window)
-        near = v[i:hi] @ v[lo:top].T
-        place = np.arange(lo, top)[None, :] - np.arange(i, hi)[:, None]
-        near[(np.abs(place) > window) | (place == 0)] = -2
-        wanted = near >= least
+
+def best_in_cell(vid: np.ndarray, unit: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vid, other, cosine) of the ``k`` most similar others of each row, from cosine ``least``; ties go to the smaller vid."""
+    out = []
+    for i in range(0, len(vid), TILE):
+        hi = min(len(vid), i + TILE)
+        near = unit[i:hi] @ unit.T
+        near[np.arange(hi - i), np.arange(i, hi)] = -2
+        wanted = near >= least - ROUGH
         if not wanted.any():
             continue
-        if near.shape[1] > best:
-            floor = -np.partition(-near, best - 1, axis=1)[:, best - 1]
-            wanted &= near >= floor[:, None]
+        if near.shape[1] > k:
+            floor = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+            wanted &= near >= floor[:, None] - ROUGH
+        wanted[np.arange(hi - i), np.arange(i, hi)] = False
         r, c = np.nonzero(wanted)
-        out.append(np.stack([r + i, c + lo]))
+        step = 1 << 18
+        exact = np.concatenate([(unit[r[j : j + step] + i].astype(np.float64) * unit[c[j : j + step]]).sum(1) for j in range(0, max(len(r), 1), step)])
+        order = np.lexsort((vid[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = (place < k) & (exact >= least)
+        out.append((vid[r[keep] + i], vid[c[keep]], exact[keep]))
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    r, c = np.concatenate(out, axis=1)
-    new = np.maximum(r, c) >= old
-    a, b = vid[r[new]], vid[c[new]]
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return both[0], both[1]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _windows(dims: int, window: int, best: int, least: float):
+def _compared(dims: int, k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["vid_a", "vid_b"]
-        kept: dict = {"of": None}
+        of, vids, units = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if vids:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_in_cell(np.concatenate(vids), np.concatenate(units), k, least)], ["vid", "other", "cosine"])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            of = [f"{c}/{k}" for c, k in zip(b["collection"].to_pylist(), b["curve"].to_pylist())]
-            vid = np.asarray(b["vid"])
-            rough = np.frombuffer(b"".join(b["rough"].to_pylist()), np.int8).reshape(-1, dims)
-            starts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
+            keys = list(zip(b["collection"].to_pylist(), b["cell"].to_pylist()))
+            vid, unit = np.asarray(b["vid"]), _units(b["unit"], dims)
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for s, e in zip(starts, starts[1:]):
-                v, r, old = vid[s:e], rough[s:e], 0
-                if kept["of"] == of[s]:
-                    old = len(kept["vid"])
-                    v, r = np.concatenate([kept["vid"], v]), np.concatenate([kept["rough"], r])
-                x, y = window_pairs(v, r, old, window, best, least)
-                kept = {"of": of[s], "vid": v[-window:], "rough": r[-window:]}
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names)
+                if keys[s] != of:
+                    yield from flush()
+                    of, vids, units = keys[s], [], []
+                vids.append(vid[s:e])
+                units.append(unit[s:e])
+        yield from flush()
 
     return run
 
 
-def _cosines(dims: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.float32).reshape(-1, dims).astype(np.float64) for c in ("unit_a", "unit_b"))
-            yield pa.RecordBatch.from_arrays([b["collection"], b["id_a"], b["id_b"], pa.array((x * y).sum(1))], ["collection", "id_a", "id_b", "cosine"])
-
-    return run
+def _centres(base: DataFrame, dims: int, per: int, seed: int) -> dict[str | None, np.ndarray]:
+    """The centres of each collection: vectors whose hashed id is a multiple, so that runs repeat."""
+    sizes = base.groupBy("collection").count().collect()
+    per = max(per, -(-sum(r["count"] for r in sizes) // MOST_CENTRES))
+    chosen: dict[str | None, list[bytes]] = {}
+    for r in base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(per)) == 0).select("collection", "unit").orderBy("collection", "unit").collect():
+        chosen.setdefault(r["collection"], []).append(r["unit"])
+    return {c: np.frombuffer(b"".join(u), np.float32).reshape(-1, dims) for c, u in chosen.items()}
 
 
-def nearest(vectors: DataFrame, k: int = K, min_cosine: float = -1.0, dims: int = DIMENSIONS, curves: int = CURVES, axes: int = AXES, bits: int = BITS, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, min_cosine: float = -1.0, dims: int = DIMENSIONS, per: int = PER_CENTRE, cells: int = CELLS, seed: int = SEED) -> DataFrame:
     """``vectors``: collection, id, v (array of float). Returns collection, id, neighbour, cosine, rank (1 to k).
 
-    Neighbours come from the same collection; only those of at least ``min_cosine`` are looked for. The shuffles carry
-    8-bit copies of the vectors; exact cosines are taken for the proposed pairs only. Each row proposes at most
-    2 * window partners a curve, whatever the data, so equal vectors in any number do no harm.
+    Neighbours come from the same collection; only those of at least ``min_cosine`` are looked for. A cell gives each of
+    its vectors at most k partners, so what is merged is at most k * cells rows a vector. Of equal vectors the first k + 1
+    ids stand for all, which is all that any row can need of them.
     """
     usable = vectors.where(F.col("id").isNotNull() & (F.size("v") == dims)).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).select("collection", "id", "v")
     unit = usable.mapInArrow(_unit(dims), "collection string, id string, unit binary")
-    base = cut(unit.groupBy("collection", "id").agg(F.min("unit").alias("unit")).withColumn("vid", F.monotonically_increasing_id()))
-    on_curves = base.select("collection", "vid", "unit").mapInArrow(_on_curves(dims, curves, axes, bits, seed), "collection string, curve int, key long, vid long, rough binary")
-    order = ["collection", "curve", "key", "vid"]
-    pairs = on_curves.repartitionByRange(*order).sortWithinPartitions(*order).select("collection", "curve", "vid", "rough").mapInArrow(_windows(dims, window, k + SPARE, min_cosine - ROUGH), "vid_a long, vid_b long").distinct()
-    of_a = base.select(F.col("vid").alias("vid_a"), "collection", F.col("id").alias("id_a"), F.col("unit").alias("unit_a"))
-    of_b = base.select(F.col("vid").alias("vid_b"), F.col("id").alias("id_b"), F.col("unit").alias("unit_b"))
-    close = pairs.join(of_a, "vid_a").join(of_b, "vid_b").select("collection", "id_a", "id_b", "unit_a", "unit_b").mapInArrow(_cosines(dims), "collection string, id_a string, id_b string, cosine double").where(F.col("cosine") >= min_cosine)
-    directed = close.select("collection", F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("neighbour")))).alias("e"), "cosine").select("collection", "e.id", "e.neighbour", "cosine")
-    rank = F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("cosine"), "neighbour"))
-    return directed.withColumn("rank", rank).where(F.col("rank") <= k)
+    # The order of vid is that of the ids, so ties can be told by it.
+    base = cut(unit.groupBy("collection", "id").agg(F.min("unit").alias("unit")).orderBy("collection", "id").withColumn("vid", F.monotonically_increasing_id()))
+    distinct = cut(base.groupBy("collection", "unit").agg(F.min_by("id", "vid").alias("id"), F.min("vid").alias("vid"), F.count("*").alias("n")))
+    in_cells = distinct.select("collection", "vid", "unit").mapInArrow(_in_cells(dims, _centres(distinct, dims, per, seed), cells), "collection string, cell int, vid long, unit binary")
+    compared = in_cells.repartition("collection", "cell").sortWithinPartitions("collection", "cell").mapInArrow(_compared(dims, k, min_cosine), "vid long, other long, cosine double")
+    by_cosine = F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("cosine"), "other"))
+    close = compared.repartition("vid").groupBy("vid", "other").agg(F.max("cosine").alias("cosine")).withColumn("rank", by_cosine).where(F.col("rank") <= k).drop("rank")
+    # Ids of equal vectors: the first k + 1 of each, and one row for each vector that others share.
+    group = F.coalesce(F.concat(F.lit("of "), "collection"), F.lit("none")).alias("of")
+    shared = distinct.where("n > 1").select(group, "unit", F.col("vid").alias("first"), "n")
+    members = cut(join_by_key(base.select(group, "id", "vid", "unit"), shared, ["of", "unit"], "n", F.col("vid")).select("first", "id", "unit"))
+    firsts = members.withColumn("place", F.row_number().over(Window.partitionBy("first").orderBy("id"))).where(F.col("place") <= k + 1)
+    of_shared = firsts.select("first", F.col("id").alias("neighbour"))
+    equal = firsts.select("first", F.col("id").alias("neighbour"), "unit").mapInArrow(_self_cosine(dims), "vid long, neighbour string, cosine double").where(F.col("cosine") >= min_cosine)
+    names = distinct.select("collection", "vid", "id", "n")
+    single = close.join(names.where("n = 1").select(F.col("vid").alias("other"), F.col("id").alias("neighbour")), "other").select("vid", "neighbour", "cosine")
+    several = close.join(of_shared.withColumnRenamed("first", "other"), "other").select("vid", "neighbour", "cosine")
+    lists = single.unionByName(several).unionByName(equal).withColumn("rank", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("rank") <= k + 1)
+    listed = lists.join(names, "vid")
+    alone = listed.where("n = 1").where(F.col("rank") <= k).select("collection", "id", "neighbour", "cosine", "rank")
+    # Each of several equal vectors takes the first k of the list that aren't itself.
+    kept = F.array_sort(F.collect_list(F.struct("rank", "neighbour", "cosine")))
+    of_group = listed.where("n > 1").groupBy("collection", "vid", "n").agg(kept.alias("kept")).withColumnRenamed("vid", "first")
+    other = join_by_key(members.select("first", "id"), of_group, ["first"], "n", F.col("id")).select("collection", "id", F.posexplode(F.slice(F.filter("kept", lambda x: x["neighbour"] != F.col("id")), 1, k)).alias("at", "e"))
+    return alone.unionByName(other.select("collection", "id", "e.neighbour", "e.cosine", (F.col("at") + 1).cast("int").alias("rank")))
+
+
+def _self_cosine(dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _units(b["unit"], dims).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([b["first"], b["neighbour"], pa.array((x * x).sum(1))], ["vid", "neighbour", "cosine"])
+
+    return run
 
 
 def close_pairs(vectors: DataFrame, k: int = K, min_cosine: float = 0.9, **settings) -> DataFrame:

@@ -53,6 +53,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p03_neighbours.close_pairs(_vectors(spark, d))
 
 
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return p03_neighbours.nearest(_vectors(spark, d))
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "ingestion_state").select("run_id", F.col("extracted_text").alias("text")))
 
@@ -110,4 +114,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p4_found, p4_repaired, p5_found, p5_copies, p6_found, p6_groups, p7_found, p8_found, p8_spans, p9_mix, p9_shares, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p3_nearest, p4_found, p4_repaired, p5_found, p5_copies, p6_found, p6_groups, p7_found, p8_found, p8_spans, p9_mix, p9_shares, p10_found, p10_statistics)}

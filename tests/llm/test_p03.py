@@ -50,3 +50,16 @@ def test_many_equal_vectors_give_five_neighbours_each(spark):
     items = [("a", f"i{n:03d}", [1.0] * 64) for n in range(300)]
     near = P.nearest(frame(spark, items), 5, 0.9)
     assert near.groupBy("id").count().where("count <> 5").count() == 0
+
+
+def test_all_rows_get_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((8000, 24)) @ rng.standard_normal((24, 64)) + rng.standard_normal((8000, 64)) * 0.5
+    ids = [f"i{n:05d}" for n in range(len(m))]
+    found = {(r.id, r.neighbour) for r in P.nearest(frame(spark, [("a", i, v) for i, v in zip(ids, m)])).collect()}
+    m = m.astype(np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    c = m @ m.T
+    np.fill_diagonal(c, -2)
+    truth = {(ids[i], ids[j]) for i, row in enumerate(np.argpartition(-c, 4, axis=1)[:, :5]) for j in row}
+    assert len(found) == len(truth) == 40_000 and len(found & truth) >= 0.9 * len(truth)
