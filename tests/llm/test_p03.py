@@ -63,3 +63,19 @@ def test_all_rows_get_their_neighbours(spark):
     np.fill_diagonal(c, -2)
     truth = {(ids[i], ids[j]) for i, row in enumerate(np.argpartition(-c, 4, axis=1)[:, :5]) for j in row}
     assert len(found) == len(truth) == 40_000 and len(found & truth) >= 0.9 * len(truth)
+
+
+def test_a_dense_group_and_ties_of_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    m = rng.standard_normal(64) + rng.standard_normal((6000, 64)) * 0.3
+    ids = [f"i{n:05d}" for n in range(len(m))]
+    found = {(r.id_a, r.id_b) for r in P.close_pairs(frame(spark, [("a", i, v) for i, v in zip(ids, m)])).collect()}
+    truth = brute(ids, m.astype(np.float32).astype(float), 5, 0.9)
+    assert len(truth) > 10_000 and len(found & truth) >= 0.9 * len(truth)
+    equal = [("a", f"e{n:03d}", [1.0] * 64) for n in range(300)] + [("a", "d", [1.0] * 63 + [0.9])]
+    near = {}
+    for r in P.nearest(frame(spark, equal), 5).collect():
+        near.setdefault(r.id, {})[r.rank] = r.neighbour
+    assert near["e200"] == {i + 1: f"e{i:03d}" for i in range(5)}
+    assert near["e002"] == {1: "e000", 2: "e001", 3: "e003", 4: "e004", 5: "e005"}
+    assert near["d"] == {i + 1: f"e{i:03d}" for i in range(5)} and len(near) == 301
