@@ -39,7 +39,8 @@ CONFUSIONS = (
     "ii u|li h|rn m|m rn|cl d|d cl|vv w|w vv|ri n|nn m|in m|ni m|u ii|h li|lc k|tl d|ct d|o e|e o|c o|o c|l t|t l|r n|a e|e a|i t"
 )
 HYPHENS = "-­‐‑¬"
-#: Marks the shapes of heads and feet among the counted keys; those of so many texts are looked for in all texts.
+#: Marks the shapes of heads and feet among the counted keys; those of so many texts, however many texts there are, are
+#: looked for in all texts.
 HEAD = "\x01"
 LEAST_TEXTS = 3
 
@@ -112,8 +113,8 @@ class Trie:
 class Vocabulary:
     """Frequent words and pairs of the corpus and the search for what a misread word means."""
 
-    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int], heads: frozenset[str] = frozenset()):
-        self.counts, self.pairs, self.heads, self.known = counts, pairs, heads, {}
+    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int]):
+        self.counts, self.pairs, self.known = counts, pairs, {}
         letters = {w: n for w, n in counts.items() if w.isalpha()}
         self.trie = Trie(iter(letters))
 
@@ -181,25 +182,63 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    """``texts``: text. Counts over all texts; the driver receives at most 1 / SHARE words and pairs."""
+def _counted(texts: DataFrame) -> DataFrame:
+    """key, n: words, pairs of words and shapes of heads in all texts."""
     counted = texts.where(F.length("text") > 0).mapInArrow(_count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = cut(counted.where(F.col("n") >= LEAST_COUNT))
-    total = counted.where(~F.contains("key", F.lit(" ")) & ~F.startswith("key", F.lit(HEAD))).agg(F.sum("n")).first()[0] or 0
-    rows = counted.where(F.col("n") >= max(LEAST_COUNT, int(total * SHARE))).toLocalIterator()
+    return cut(counted.where(F.col("n") >= LEAST_COUNT))
+
+
+def _frequent(counted: DataFrame) -> Vocabulary:
+    own = counted.where(~F.startswith("key", F.lit(HEAD)))
+    total = own.where(~F.contains("key", F.lit(" "))).agg(F.sum("n")).first()[0] or 0
     words: dict[str, int] = {}
     pairs: dict[tuple[str, str], int] = {}
-    heads: set[str] = set()
-    for r in rows:
-        if r["key"].startswith(HEAD):
-            if r["n"] >= LEAST_TEXTS:
-                heads.add(r["key"][1:])
-        elif " " in r["key"]:
+    for r in own.where(F.col("n") >= max(LEAST_COUNT, int(total * SHARE))).toLocalIterator():
+        if " " in r["key"]:
             a, _, c = r["key"].partition(" ")
             pairs[a, c] = r["n"]
         else:
             words[r["key"]] = r["n"]
-    return Vocabulary(words, pairs, frozenset(heads))
+    return Vocabulary(words, pairs)
+
+
+def vocabulary(texts: DataFrame) -> Vocabulary:
+    """``texts``: text. Counts over all texts; the driver receives at most 1 / SHARE words and pairs."""
+    return _frequent(_counted(texts))
+
+
+def _border_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(run_id, shape) for run_id, text in zip(b["run_id"].to_pylist(), b["text"].to_pylist()) for shape in border_shapes([x.rstrip("\r") for x in text.split("\n")])]
+        columns = list(zip(*rows)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["run_id", "shape"])
+
+
+def border_shapes(lines: list[str]) -> set[str]:
+    """Shapes of the lines that may be heads or feet: at page borders, or next to page numbers there."""
+    text = [bool(x.strip()) for x in lines] + [False]  # the last is the one before the first, too
+    out: set[str] = set()
+    for i in range(len(lines)):
+        for step in (1, -1):
+            j = i
+            if not text[i] or text[i - step]:
+                continue
+            out.add(_shape(lines[j]))
+            while _looks_numbered(lines[j]) and text[j + step]:
+                j += step
+                out.add(_shape(lines[j]))
+    return out - {""}
+
+
+def _looks_numbered(line: str) -> bool:
+    return bool(_NUMBERED.match(line) or _ROMAN.match(line))
+
+
+def _with_heads(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """run_id, text and the shapes among its own that other texts have shown to be heads; no list of all heads is sent."""
+    heads = counted.where(F.startswith("key", F.lit(HEAD)) & (F.col("n") >= LEAST_TEXTS)).select(F.expr("substring(key, 2)").alias("shape"))
+    own = rows.mapInArrow(_border_shapes, "run_id string, shape string").distinct().join(heads, "shape").groupBy("run_id").agg(F.collect_set("shape").alias("heads"))
+    return rows.join(own, "run_id", "left")
 
 
 def _shape(line: str) -> str:
@@ -356,10 +395,10 @@ def is_scan(lines: list[str], found: dict[int, str]) -> bool:
 class Page:
     """A text taken apart: noise by line, and what each word should be."""
 
-    def __init__(self, text: str, vocabulary: Vocabulary):
+    def __init__(self, text: str, vocabulary: Vocabulary, heads: frozenset[str] = frozenset()):
         self.lines = text.split("\n")
         lines = [x.rstrip("\r") for x in self.lines]
-        self.furniture = furniture(lines, vocabulary.heads)
+        self.furniture = furniture(lines, heads)
         self.noise: list[tuple[int, str]] = []
         self.fixes: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
         self.cuts: dict[int, int] = {}
@@ -474,7 +513,7 @@ class Page:
 def _find(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(run_id, i + 1, kind) for run_id, text in zip(b["run_id"].to_pylist(), b["text"].to_pylist()) for i, kind in Page(text, vocabulary).noise]
+            rows = [(run_id, i + 1, kind) for run_id, text, heads in zip(b["run_id"].to_pylist(), b["text"].to_pylist(), b["heads"].to_pylist()) for i, kind in Page(text, vocabulary, frozenset(heads or ())).noise]
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["run_id", "line_no", "noise"])
 
@@ -484,7 +523,7 @@ def _find(vocabulary: Vocabulary):
 def _repair(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["run_id"], pa.array([Page(t, vocabulary).repaired() for t in b["text"].to_pylist()], pa.string())], ["run_id", "text"])
+            yield pa.RecordBatch.from_arrays([b["run_id"], pa.array([Page(t, vocabulary, frozenset(h or ())).repaired() for t, h in zip(b["text"].to_pylist(), b["heads"].to_pylist())], pa.string())], ["run_id", "text"])
 
     return run
 
@@ -496,10 +535,12 @@ def _usable(runs: DataFrame) -> DataFrame:
 def noise(runs: DataFrame) -> DataFrame:
     """``runs``: run_id, text. Returns run_id, line_no (from 1), noise."""
     rows = _usable(runs)
-    return rows.mapInArrow(_find(vocabulary(rows.select("text"))), "run_id string, line_no long, noise string").distinct()
+    counted = _counted(rows.select("text"))
+    return _with_heads(rows, counted).mapInArrow(_find(_frequent(counted)), "run_id string, line_no long, noise string").distinct()
 
 
 def repaired(runs: DataFrame) -> DataFrame:
     """run_id and the repaired text."""
     rows = _usable(runs)
-    return rows.mapInArrow(_repair(vocabulary(rows.select("text"))), "run_id string, text string")
+    counted = _counted(rows.select("text"))
+    return _with_heads(rows, counted).mapInArrow(_repair(_frequent(counted)), "run_id string, text string")

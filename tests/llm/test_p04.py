@@ -51,3 +51,12 @@ def test_nulls_empty_repeats_and_long(spark, rows):
     found = rows(P.noise(runs))
     assert {r[0] for r in found} == {"a"} and ("a", 6, "page_number") in found
     assert P.noise(spark.createDataFrame([], "run_id string, text string")).count() == 0
+
+
+def test_heads_of_few_texts_count_on_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARE", 0.01)  # as on a large table: a word must be seen far more than LEAST_TEXTS times
+    page = "Ledger Circular\nthe team must reconcile the\nreport within the month and\n\n"
+    runs = [(f"r{n}", page * 3 + "Ledger Circular\nthe rest of it.", 1) for n in range(3)]
+    runs += [("one", "the manager signs the cur-\nrent account form with the\n\nLedger Circular\n\nBranch staff keep the\nreport and the form and the\nteam.", 1), ("long", BODY * 20, 1)]
+    found = P.noise(spark.createDataFrame(runs, "run_id string, text string, n int")).where("run_id = 'one' and noise = 'header'")
+    assert [r.line_no for r in found.collect()] == [4]
