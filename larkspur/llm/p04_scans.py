@@ -54,6 +54,10 @@ _CUT = re.compile(rf"([^\W\d_]+)([{HYPHENS}])\s*$")
 _FIRST = re.compile(r"\s*([^\W_]+)")
 _NUMBERED = re.compile(r"^\s*(?:(?P<open>[\[(–—-]\s*)?(?P<word>page|pg\.?|p\.?|seite|página|पृष्ठ)?\s*(?P<n>\d{1,4})(?P<of>\s*(?:of|/|von|de)\s*\d{1,4})?\s*(?P<close>[\])–—-])?)\s*$", re.I)
 _ROMAN = re.compile(r"^\s*[\[(–-]?\s*([ivxlc]{1,8})\s*[\])–-]?\s*$")
+# Letters that stand for digits, and numbers of which some digits were seen as letters.
+_DIGITS = str.maketrans("OoQDlIi|SsBZzqg", "000011115582299")
+_MISNUMBERED = re.compile(_NUMBERED.pattern.replace(r"\d", r"[\dOoQDlIi|SsBZzqg]"), re.I)
+_MISNUMBER = re.compile(r"(?<![\w.,/-])(?=[OolI]*\d)(?=\d*[OolI])[\dOolI]{2,}(?![\w/])(?!-\w)")
 _SENTENCE_END = re.compile(r"[.!?।:;][\"')\]]*\s*$")
 _YEAR_OR_NUMBER = re.compile(r"(?:19|20|2O)[\dOolI]{2}\b|[|·–—-]\s*\d{1,4}\s*$|^\s*\d{1,4}\s*[|·–—-]\s")
 
@@ -231,7 +235,7 @@ def border_shapes(lines: list[str]) -> set[str]:
 
 
 def _looks_numbered(line: str) -> bool:
-    return bool(_NUMBERED.match(line) or _ROMAN.match(line))
+    return bool(_NUMBERED.match(line) or _ROMAN.match(line) or _misread_number(line))
 
 
 def _with_heads(rows: DataFrame, counted: DataFrame) -> DataFrame:
@@ -272,6 +276,29 @@ def _roman(text: str) -> int | None:
     return value if 0 < value < 200 else None
 
 
+def _misread_number(line: str) -> tuple[int, bool, bool] | None:
+    """Number of a page number with misread digits, whether its notation can be nothing else, and whether it holds a digit."""
+    m = _MISNUMBERED.match(line)
+    if not m or line.strip().endswith("."):
+        return None
+    n = m["n"].translate(_DIGITS)
+    return (int(n), bool(m["word"] or m["of"] or m["open"] and m["close"]), any(map(str.isdigit, line))) if n.isdigit() else None
+
+
+def _chain(numbers: list[tuple[int, int]]) -> list[int]:
+    """The lines of the longest chain of numbers that count up; pages whose number wasn't recognised leave gaps."""
+    chains: dict[int, tuple[list[int], bool]] = {}
+    best: list[int] = []
+    for i, v in numbers:
+        before, gap = max(((chains[v - k], k) for k in range(1, MOST_MISSED + 2) if v - k in chains), key=lambda x: (len(x[0][0]), -x[1]), default=(([], True), 1))
+        chain, tight = [*before[0], i], before[1] and gap == 1
+        if v not in chains or len(chain) >= len(chains[v][0]):
+            chains[v] = chain, tight
+        if len(chain) > len(best) and (len(chain) > 2 or tight):
+            best = chain
+    return best
+
+
 def furniture(lines: list[str], heads: frozenset[str] = frozenset()) -> dict[int, str]:
     """``header`` or ``page_number`` by line index.
 
@@ -291,28 +318,35 @@ def furniture(lines: list[str], heads: frozenset[str] = frozenset()) -> dict[int
     # Page numbers.
     plain: list[tuple[int, int]] = []
     romans: list[tuple[int, int]] = []
+    marked: list[tuple[int, int]] = []
+    misread: list[tuple[int, int]] = []
     for i in sorted({*ends, *starts}):
         m = _NUMBERED.match(lines[i])
         if m:
             if m["word"] or m["of"] or m["open"] and m["close"]:
                 found[i] = "page_number"
+                marked.append((i, int(m["n"])))
             elif not lines[i].strip().endswith("."):
                 plain.append((i, int(m["n"])))
-        elif (m := _ROMAN.match(lines[i])) and (v := _roman(m[1])):
+            continue
+        if (m := _ROMAN.match(lines[i])) and (v := _roman(m[1])):
             romans.append((i, v))
+        if w := _misread_number(lines[i]):
+            misread.append((i, w[0]))
+            if w[1] and w[2]:
+                found[i] = "page_number"
+                marked.append(misread.pop())
     for numbers in (plain, romans):
-        # The longest chain of numbers that count up; pages whose number wasn't recognised leave gaps.
-        chains: dict[int, tuple[list[int], bool]] = {}
-        best: list[int] = []
-        for i, v in numbers:
-            before, gap = max(((chains[v - k], k) for k in range(1, MOST_MISSED + 2) if v - k in chains), key=lambda x: (len(x[0][0]), -x[1]), default=(([], True), 1))
-            chain, tight = [*before[0], i], before[1] and gap == 1
-            if v not in chains or len(chain) >= len(chains[v][0]):
-                chains[v] = chain, tight
-            if len(chain) > len(best) and (len(chain) > 2 or tight):
-                best = chain
+        best = _chain(numbers)
         if len(best) >= 2:
             found |= dict.fromkeys(best, "page_number")
+    if misread:
+        # Misread numbers that count up together with at least as many well read ones, all of the chain among them.
+        read = {*(i for i, _ in plain), *(i for i, _ in marked)}
+        for numbers in (plain, marked):
+            best = _chain(sorted([*numbers, *misread]))
+            if len(best) >= 2 and set(_chain(numbers)) <= set(best) and 2 * len(read & set(best)) >= len(best):
+                found |= dict.fromkeys(best, "page_number")
     if not found:
         # A single page: a last line that is a small number under a foot or a sentence, not under other numbers.
         i = text[-1]
@@ -443,6 +477,10 @@ class Page:
                 if meant:
                     flagged.add(i)
                     self.fixes[i].append((s, e, self._cased(line[s:e], meant)))
+            for m in _MISNUMBER.finditer(line, start):
+                if all(m.end() <= s or m.start() >= e for s, e, _ in self.fixes[i]):
+                    flagged.add(i)
+                    self.fixes[i].append((m.start(), m.end(), m[0].translate(_DIGITS)))
         self.noise += [(i, "misread") for i in flagged]
 
     @staticmethod

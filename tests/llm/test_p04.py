@@ -60,3 +60,13 @@ def test_heads_of_few_texts_count_on_large_tables(spark, monkeypatch):
     runs += [("one", "the manager signs the cur-\nrent account form with the\n\nLedger Circular\n\nBranch staff keep the\nreport and the form and the\nteam.", 1), ("long", BODY * 20, 1)]
     found = P.noise(spark.createDataFrame(runs, "run_id string, text string, n int")).where("run_id = 'one' and noise = 'header'")
     assert [r.line_no for r in found.collect()] == [4]
+
+
+def test_page_numbers_with_misread_digits_and_numbers_in_lines():
+    v = P.Vocabulary({"team": 100}, {})
+    for a, b, c in (("Page 17 of 27", "Page l8 of 27", "Page 19 of 27"), ("[39]", "[4O]", "[41]"), ("- 40 -", "- 4l -", "- 42 -"), ("p. 30", "p. 3l", "p. 32"), ("9", "lO", "11"), ("Page 9", "Page lO", "Page 11")):
+        text = f"The team waits 3O days for the\n\n{a}\n\nreport of the team and then\n\n{b}\n\nthe team goes on with it\n\n{c}\n"
+        page = P.Page(text, v)
+        assert sorted(page.noise) == [(0, "misread"), (2, "page_number"), (6, "page_number"), (10, "page_number")]
+        assert page.repaired() == "The team waits 30 days for the report of the team and then the team goes on with it"
+    assert P.furniture(["Is", "", "some text here", "", "So"]) == {}
