@@ -28,6 +28,8 @@ from larkspur.session import cut
 #: A word or word pair belongs to the vocabulary from this share of all words (so at most 1 / SHARE entries) and count.
 SHARE = 1e-6
 LEAST_COUNT = 3
+#: The halves of a compound broken at its own hyphen have more than this share of all words each.
+COMPOUND_SHARE = 9e-5
 #: A frequent word is itself a misreading where a candidate is so many times more frequent.
 RATIO = 25
 #: Pages in a row whose number may be missing in a sequence of page numbers.
@@ -119,6 +121,7 @@ class Vocabulary:
 
     def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int]):
         self.counts, self.pairs, self.known = counts, pairs, {}
+        self.usual = max(LEAST_COUNT, COMPOUND_SHARE * sum(counts.values()))
         letters = {w: n for w, n in counts.items() if w.isalpha()}
         self.trie = Trie(iter(letters))
 
@@ -151,7 +154,7 @@ class Vocabulary:
         if self.meant(joined):
             return True
         parts = right.split("-")[0]
-        return not (self.counts.get(left, 0) > LEAST_COUNT * 20 and (self.counts.get(parts, 0) > LEAST_COUNT * 20 or (self.meant(parts) is not None and len(left) > 2)))
+        return not (self.counts.get(left, 0) > self.usual and (self.counts.get(parts, 0) > self.usual or (self.meant(parts) is not None and len(left) > 2)))
 
 
 def tokens(line: str) -> list[tuple[str, int, int]]:
@@ -457,7 +460,7 @@ class Page:
                     self.cuts[i] = j
                     skip[j] = rest.end(1)
                     words_ = [t for t in words_ if t[1] != cut.start(1)]
-                    meant = None if left + right in vocabulary.counts and not self._doubtful(vocabulary, left + right) else vocabulary.meant(left + right)
+                    meant = vocabulary.meant(left + right)
                     if meant:
                         joined = left + right
                         ops = [o for o in SequenceMatcher(None, joined, meant, autojunk=False).get_opcodes() if o[0] != "equal"]
@@ -471,7 +474,7 @@ class Page:
             start = skip.get(i, 0)
             plain = [t for t in words_ if t[1] >= start]
             for k, (w, s, e) in enumerate(plain):
-                if w in vocabulary.counts and not self._doubtful(vocabulary, w) or not self._checked(line, w, s, e):
+                if not self._checked(line, w, s, e):
                     continue
                 meant = vocabulary.meant(w, plain[k - 1][0] if k else None, plain[k + 1][0] if k + 1 < len(plain) else None)
                 if meant:
@@ -483,11 +486,6 @@ class Page:
                     self.fixes[i].append((m.start(), m.end(), m[0].translate(_DIGITS)))
         self.noise += [(i, "misread") for i in flagged]
 
-    @staticmethod
-    def _doubtful(vocabulary: Vocabulary, w: str) -> bool:
-        """A frequent word may still be a frequent misreading."""
-        return not w.isalpha() or vocabulary.counts[w] < 4000
-
     @staticmethod
     def _checked(line: str, w: str, s: int, e: int) -> bool:
         """Words are looked up, but not numbers, grades and parts of codes."""

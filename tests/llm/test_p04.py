@@ -70,3 +70,14 @@ def test_page_numbers_with_misread_digits_and_numbers_in_lines():
         assert sorted(page.noise) == [(0, "misread"), (2, "page_number"), (6, "page_number"), (10, "page_number")]
         assert page.repaired() == "The team waits 30 days for the report of the team and then the team goes on with it"
     assert P.furniture(["Is", "", "some text here", "", "So"]) == {}
+
+
+def test_decisions_depend_on_shares_not_on_the_size_of_the_table():
+    one = {"account": 1000, "accounf": 5, "the": 5000, "long": 9, "term": 9}
+    for size in (1, 1000):
+        v = P.Vocabulary({w: n * size for w, n in one.items()}, {})
+        text = "The accounf of the\nteam is due and the\nteam goes on.\n\nPage 1 of 2"
+        assert (0, "misread") in P.Page(text, v).noise
+        assert not v.is_cut("long", "term")
+        rare = P.Vocabulary({w: n * size for w, n in (one | {"the": 500_000}).items()}, {})
+        assert rare.is_cut("long", "term")
