@@ -35,6 +35,8 @@ RATIO = 25
 #: Pages in a row whose number may be missing in a sequence of page numbers.
 MOST_MISSED = 3
 MAX_EDITS = 2
+#: Edits that a letter seen wrongly, one too many or one too few counts for if it is no known confusion.
+OTHER_EDIT = 1.5
 # What character recognition takes for what (seen, meant).
 CONFUSIONS = (
     "0 o|1 l|1 i|5 s|8 b|6 b|6 g|9 g|9 q|2 z|3 e|4 a|7 t|l i|i l|o a|a o|e c|c e|b h|h b|n u|u n|v y|f t|t f|q g|g q|i j|j i|o 0|l 1|s 5|"
@@ -75,28 +77,35 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
-    def within(self, seen: str, most: int) -> list[tuple[int, str]]:
-        """(edits, word) of all words from which ``seen`` arises by at most ``most`` confusions.
+    def within(self, seen: str, most: int) -> list[tuple[float, str]]:
+        """(edits, word) of all words from which ``seen`` arises by at most ``most`` edits: a confusion is one, any other OTHER_EDIT.
 
         A state of the automaton is a set of (position in ``seen``, edits); the trie's arcs move all of it on. A confusion
         of several letters is one edit.
         """
-        out: list[tuple[int, str]] = []
+        out: list[tuple[float, str]] = []
         n = len(seen)
-        stack: list[tuple[dict, dict[int, int], str]] = [(self.root, {0: 0}, "")]
+        stack: list[tuple[dict, dict[int, float], str]] = [(self.root, {0: 0}, "")]
         while stack:
             node, state, before = stack.pop()
+            for at in sorted(state):  # a letter too many
+                if at < n and state[at] + OTHER_EDIT < min(most + 0.1, state.get(at + 1, most + 1)):
+                    state[at + 1] = state[at] + OTHER_EDIT
             if "" in node and state.get(n, most + 1) <= most:
                 out.append((state[n], node[""]))
             for c, child in node.items():
                 if not c:
                     continue
-                new: dict[int, int] = {}
+                new: dict[int, float] = {}
                 for at, edits in state.items():
                     if at < n and seen[at] == c:
                         if edits < new.get(at + 1, most + 1):
                             new[at + 1] = edits
-                    if edits < most:
+                    if edits + OTHER_EDIT <= most:
+                        for to in (at, at + 1)[: n - at + 1]:  # a letter too few, another letter
+                            if edits + OTHER_EDIT < new.get(to, most + 1):
+                                new[to] = edits + OTHER_EDIT
+                    if edits + 1 <= most:
                         for form in _CONFUSED.get(c, ()):
                             if seen.startswith(form, at):
                                 to = at + len(form)
@@ -110,7 +119,7 @@ class Trie:
                                         stack.append((child2, {at + len(form): edits + 1}, before + c + c2))
                 if new:
                     stack.append((child, new, before + c))
-        best: dict[str, int] = {}
+        best: dict[str, float] = {}
         for e, w in out:
             best[w] = min(e, best.get(w, most + 1))
         return [(e, w) for w, e in best.items()]
@@ -121,6 +130,7 @@ class Vocabulary:
 
     def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int]):
         self.counts, self.pairs, self.known = counts, pairs, {}
+        self.least = min(counts.values(), default=LEAST_COUNT)
         self.usual = max(LEAST_COUNT, COMPOUND_SHARE * sum(counts.values()))
         letters = {w: n for w, n in counts.items() if w.isalpha()}
         self.trie = Trie(iter(letters))
@@ -133,7 +143,9 @@ class Vocabulary:
             mixed = not word.isalpha()
             most = MAX_EDITS if len(word) > 4 else 1
             needed = max(LEAST_COUNT, own * (2 if mixed else RATIO))
-            found = [(e, w) for e, w in self.trie.within(word, most) if w != word and self.counts[w] >= needed]
+            # Any other edit may also make a rare word out of a word, so its candidate must be frequent beside unknown words, too.
+            sure = max(needed, RATIO * max(own, self.least))
+            found = [(e, w) for e, w in self.trie.within(word, most) if w != word and self.counts[w] >= (sure if e % 1 else needed)]
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[word] = found

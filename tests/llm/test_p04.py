@@ -81,3 +81,10 @@ def test_decisions_depend_on_shares_not_on_the_size_of_the_table():
         assert not v.is_cut("long", "term")
         rare = P.Vocabulary({w: n * size for w, n in (one | {"the": 500_000}).items()}, {})
         assert rare.is_cut("long", "term")
+
+
+def test_any_letter_may_be_wrong_too_many_or_too_few():
+    v = P.Vocabulary({"manager": 1000, "mamager": 50, "report": 3}, {})
+    assert [v.meant(w) for w in ("managyr", "manxager", "manger", "anager", "managerz")] == ["manager"] * 5
+    assert min(P.Trie(iter(["modem", "modexn"])).within("modern", 2)) == (1, "modem")
+    assert v.meant("mznzger") is None and v.meant("reporx") is None
