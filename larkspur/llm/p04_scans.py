@@ -4,7 +4,8 @@ One pass over all texts counts words and word pairs; the frequent ones (a share
 make the vocabulary. Page furniture (running heads and feet, page numbers) is found by its place at page borders, its
 repetition and its counting up; words cut at line ends are rejoined and told from compounds by the vocabulary;
 every other unknown word is looked up by intersecting a Levenshtein automaton (with the confusions of character
-recognition) with a trie of the vocabulary, which yields all candidates, and context ranks them. Repaired text has
+recognition) with a trie of the vocabulary, which yields all
+candidates within two confusions or one other edit, and context ranks them. Repaired text has
 no furniture and continuous paragraphs.
 
 Defined results: null and empty texts have no noise and come out empty; rows with a null id are left out; repeated
