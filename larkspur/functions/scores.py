@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def sigmoid(x: Column) -> Column:
@@ -41,14 +40,6 @@ def or_zero(x: Column) -> Column:
     return F.coalesce(x.cast("double"), F.lit(0.0))
 
 
-def min_max(x: Column, *by: str) -> Column:
-    """Scores of a group scaled to [0, 1]; equal scores all become 1."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(x).over(w), F.max(x).over(w)
+def min_max(x: Column, low: Column, high: Column) -> Column:
+    """A score scaled to [0, 1] between the lowest and highest of its group; equal scores all become 1."""
     return F.when(high == low, F.lit(1.0)).otherwise((x - low) / (high - low))
-
-
-def upper_median(x: Column) -> Column:
-    """Aggregate: the element in the middle of the sorted values, the upper one of an even number."""
-    values = F.sort_array(F.collect_list(x))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))

@@ -52,11 +52,10 @@ def is_heading(c: Column | str) -> Column:
 
 
 def paragraphs(c: Column | str) -> Column:
-    """Paragraphs between blank lines; else the lines; else the whole text."""
+    """Paragraphs between blank lines, line ends inside them kept; a blank text is one paragraph, itself."""
     text = F.coalesce(_col(c), F.lit(""))
-    of = lambda pattern: F.filter(F.transform(F.split(text, pattern), strip), lambda s: s != "")
-    blocks, lines = of(r"\n[\s ]*\n"), of(r"\n")
-    return F.when(text.rlike(r"\n[\s ]*\n") & (F.size(blocks) > 1), blocks).when(F.size(lines) > 0, lines).otherwise(F.array(text))
+    blocks = F.filter(F.transform(F.split(text, r"\n[\s\u00a0]*\n"), strip), lambda s: s != "")
+    return F.when(F.size(blocks) > 0, blocks).otherwise(F.array(text))
 
 
 def overlap_tail(c: Column | str, overlap: int) -> Column:
@@ -83,14 +82,13 @@ def alias_name(c: Column | str) -> Column:
     return F.concat(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9_-]", "_"), F.lit("_live"))
 
 
-def redact_numbers(c: Column | str) -> Column:
-    """National identity numbers replaced by typed placeholders."""
-    return F.regexp_replace(F.regexp_replace(_col(c), AADHAAR, "<IN_AADHAAR>"), PAN, "<IN_PAN>")
-
-
-def count_numbers(c: Column | str) -> Column:
-    """How many national identity numbers a text holds."""
-    return F.regexp_count(_col(c), F.lit(AADHAAR)) + F.regexp_count(_col(c), F.lit(PAN))
+def ascii_json(c: Column | str) -> Column:
+    """JSON text with every character beyond ASCII as an escape of lower-case hex digits, two for those beyond 16 bits."""
+    text = _col(c)
+    escaped = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    letters = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)))
+    whole = F.array_join(F.transform(letters, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), escaped(x)).otherwise(x)), "")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), whole).otherwise(text)
 
 
 def tokens(c: Column | str) -> Column:

@@ -69,24 +69,15 @@ def text_model(model: Callable[[list[str]], list[str]] | None = None, batch: int
     return run
 
 
-def structured(answer: Column, schema: str, fallback: Column) -> Column:
-    """A model's JSON answer as a struct; what can't be read becomes the fallback."""
-    parsed = F.from_json(answer, schema, {"mode": "PERMISSIVE"})
-    fields = [f.split()[0] for f in schema.split(", ")]
-    readable = F.coalesce(*(parsed[f].isNotNull() for f in fields[:1]), F.lit(False))
-    return F.when(readable, parsed).otherwise(fallback)
-
-
-def vision(model: Callable[[list[bytes]], list[str]] | None = None) -> Callable[[Column], Column]:
-    """Image slot: pictures in, transcriptions out, wrapped for the surrounding text; an error gives the empty string."""
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            try:
-                said = list(model(list(s))) if model else [""] * len(s)
-            except Exception:
-                said = [""] * len(s)
-            yield pd.Series([f"\n[IMAGE ANALYSIS: {t}]\n" if t else "" for t in said], dtype=object)
+def vision(model: Callable[[bytes, str], str]) -> Callable[[bytes, str], str]:
+    """Image slot for the readers of files: a picture and the text before it in, a transcription marked as such out; an
+    error or nothing gives the empty string."""
+
+    def run(picture: bytes, before: str) -> str:
+        try:
+            told = (model(picture, before) or "").strip()
+        except Exception:
+            return ""
+        return f"\n[IMAGE ANALYSIS: {told}]\n" if told else ""
 
     return run

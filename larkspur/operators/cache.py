@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import chains
+
 TTL_SECONDS = 900
 
 
@@ -16,7 +18,7 @@ def _fold(key: str, order: str, ttl: int):
         of, written = None, 0.0
         for b in batches:
             hits = []
-            for k, piece, s in zip(b["_k"].to_pylist(), b["_piece"].to_pylist(), b["_s"].to_pylist()):
+            for k, piece, s in zip(b["_k"].to_pylist(), b["_piece"].to_pylist(), b["_start"].to_pylist()):
                 if (k, piece) != of:
                     of, written = (k, piece), float("-inf")
                 hit = s - written < ttl
@@ -33,19 +35,12 @@ def lookups(events: DataFrame, key: str, ts: str, order: str, ttl: int = TTL_SEC
     refresh. Rows with a null key or time are left out.
 
     Whether a lookup writes depends on the one before, so a key's lookups form a chain; no entry reaches across a pause
-    of ``ttl``, so chains are cut there. The pauses are found among the occupied intervals of that length, which are
-    aggregated before any window. The pieces, not the keys, are dealt to the tasks, which stream them in order and hold
-    one time stamp. A piece without such a pause is one task's work, in one pass.
+    of ``ttl``, so chains are cut there and the pieces are dealt to the tasks.
     """
-    rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_o"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_s"))
-    rows = rows.withColumn("_b", F.floor(F.col("_s") / ttl))
-    spans = rows.groupBy("_k", "_b").agg(F.min("_s").alias("low"), F.max("_s").alias("high"))
-    w = Window.partitionBy("_k").orderBy("_b")
-    cut = F.when(F.col("low") - F.lag("high").over(w) < ttl, 0).otherwise(1)
-    pieces = spans.withColumn("_cut", cut).select("_k", "_b", F.sum("_cut").over(w).alias("_piece"))
-    dealt = rows.join(pieces, ["_k", "_b"]).repartition("_k", "_piece").sortWithinPartitions("_k", "_piece", "_s", "_o")
+    rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_o"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_start"))
+    dealt = chains.pieces(rows.withColumn("_end", F.col("_start") + ttl), ttl)
     types = dict(events.dtypes)
-    return dealt.select("_k", "_o", "_s", "_piece").mapInArrow(_fold(key, order, ttl), f"`{key}` {types[key]}, `{order}` {types[order]}, hit boolean")
+    return dealt.mapInArrow(_fold(key, order, ttl), f"`{key}` {types[key]}, `{order}` {types[order]}, hit boolean")
 
 
 def eligible(should_refine: Column) -> Column:

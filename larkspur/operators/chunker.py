@@ -89,9 +89,7 @@ def windowed(text: str | None, max_chars: int = MAX_CHARS, overlap: int = OVERLA
     max_chars, overlap = limits(max_chars, overlap)
     if not text:
         return []
-    blocks = [p for p in (x.strip() for x in _BLANK_LINE.split(text)) if p] if _BLANK_LINE.search(text) else []
-    if len(blocks) < 2:
-        blocks = [p for p in (x.strip() for x in text.split("\n")) if p] or [text]
+    blocks = [p for p in (x.strip() for x in _BLANK_LINE.split(text)) if p] or [text]
 
     def long_sentence(s: str) -> list[str]:
         return hard_split(s, max_chars, overlap)

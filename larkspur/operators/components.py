@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: an edge set of the same order as the input is rewritten until every
     node hangs on its component's smallest id. Each round is cut by a checkpoint. A node of any degree costs one
     aggregated minimum, not a collected list.
+    Doubling the reach every round, it settles after few rounds; if it hasn't after ``MAX_ROUNDS``, that is an error.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
@@ -32,4 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components haven't settled after {MAX_ROUNDS} rounds")
     return nodes.join(links.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

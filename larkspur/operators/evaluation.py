@@ -24,6 +24,11 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str], order: list[str])
     return both.withColumn("_last", last).where("_last = 1").drop("_last")
 
 
+def numbered(cases: DataFrame, id: str) -> DataFrame:
+    """Ids of a case file with ``case_number`` in their order. A file of cases is small; the numbers need one task."""
+    return cases.select(id).distinct().withColumn("case_number", F.row_number().over(Window.orderBy(id)))
+
+
 def latest_results(results: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     """The report of the last ``n`` results (a top-n by time)."""
     return results.select(*columns).orderBy(F.desc("created_at"), *columns).limit(n)

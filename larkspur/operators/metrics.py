@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_SECONDS = 300
 # Histogram bounds in seconds.
 BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 FAILURES = ("error", "timeout", "rate_limited")
+#: Accuracy of the sketch that brackets an exact quantile.
+ACCURACY = 20_000
 
 
 def window_start(ts: str = "ts", seconds: int = WINDOW_SECONDS) -> Column:
@@ -37,9 +39,36 @@ def rate(points: DataFrame, by: list[str], ts: str = "ts", amount: Column | None
     return points.groupBy(window_start(ts, seconds), *by).agg((total / float(seconds)).alias("per_second"))
 
 
+def quantile(points: DataFrame, by: list[str], value: str, q: float, accuracy: int = ACCURACY) -> DataFrame:
+    """Exact quantile of durations by group, interpolated between ranks; negative values count as 0, nulls not at all.
+
+    A sketch of bounded size brackets the rank, to 2 / accuracy of the rows on either side; only values inside the
+    bracket are counted one by one, those below it by a single number. No group is ever gathered in one buffer.
+    """
+    x = F.greatest(F.lit(0.0), F.col(value).cast("double"))
+    rows = points.where(F.col(value).isNotNull()).select(*by, x.alias("_x"))
+    near = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", near, accuracy).alias("_b"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    few = F.col("_n") <= 4 * accuracy  # all values of such a group may be counted, and its ranks lie close together
+    low = F.when(few | F.lit(near[0] == 0), F.col("_low")).otherwise(F.col("_b")[0])
+    high = F.when(few | F.lit(near[1] == 1), F.col("_high")).otherwise(F.col("_b")[1])
+    brackets = sketch.select(*(F.col(c).alias(f"_{c}") for c in by), "_n", low.alias("_lo"), high.alias("_hi"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = rows.join(brackets, same).where(F.col("_x") <= F.col("_hi")).select(*by, "_n", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_v"))
+    counts = inside.groupBy(*by, "_n", "_v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v"))
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w))
+    rank = F.lit(q) * (F.col("_n") - 1)
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    ends = ranked.groupBy(*by, "_n").agg(at(F.floor(rank)).alias("_a"), at(F.ceil(rank)).alias("_z"))
+    return ends.select(*by, (F.col("_a") + (F.col("_z") - F.col("_a")) * (rank - F.floor(rank))).alias("quantile"))
+
+
 def p95(points: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact 95th percentile of durations, negative ones counted as 0."""
-    return points.groupBy(*by).agg(F.percentile(F.greatest(F.lit(0.0), F.col(value)), F.lit(0.95)).alias("p95"))
+    """Exact 95th percentile of durations."""
+    return quantile(points, by, value, 0.95).withColumnRenamed("quantile", "p95")
 
 
 def histogram(points: DataFrame, by: list[str], value: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
@@ -74,8 +103,6 @@ def heading_levels(spans: DataFrame, factor: float = 1.2, top: float = 1.35, lon
 
     The median comes from counts by size, so a document of any length is a few rows.
     """
-    from pyspark.sql import Window
-
     counts = spans.where(F.col("size") > 0).groupBy("doc_id", "size").agg(F.count("*").alias("n"))
     w = Window.partitionBy("doc_id").orderBy("size")
     ranked = counts.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id")))

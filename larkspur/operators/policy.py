@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import chains
+
 FALLBACK_ROLE = "bank_employee"
 
 
@@ -56,18 +61,45 @@ def matches_policy(allowed: Column, known: Column, expected: Column) -> Column:
 
 
 def admitted(origin: Column, allowed_origins: list[str], authorization: Column, cookie: Column) -> Column:
-    """Close code of a connection attempt, null if it is admitted: the origin must be allowed where one is given or the
-    token comes as a cookie, and some token must be there."""
-    bearer = F.regexp_extract(F.coalesce(authorization, F.lit("")), r"(?i)^bearer\s+(\S+)\s*$", 1) != ""
-    by_cookie = ~bearer & (F.coalesce(cookie, F.lit("")) != "")
-    wrong = origin.isNotNull() & ~origin.isin(allowed_origins) | origin.isNull() & by_cookie
-    return F.when(wrong, 4403).when(~bearer & ~by_cookie, 4401)
+    """Close code of a connection attempt, null if it is admitted.
+
+    An origin that is given must be allowed (4403), some token must be there (4401), and a cookie needs an origin (4403),
+    even beside another token. A blank origin is none.
+    """
+    given = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    header = F.coalesce(authorization, F.lit(""))
+    bearer = F.lower(F.left(header, F.lit(7))).eqNullSafe("bearer ") & (F.trim(F.substr(header, F.lit(8))) != "")
+    by_cookie = F.coalesce(cookie, F.lit("")) != ""
+    wrong = (given(origin) != "") & ~given(origin).isin(allowed_origins)
+    return F.when(wrong, 4403).when(~bearer & ~by_cookie, 4401).when(by_cookie & (given(origin) == ""), 4403)
+
+
+def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of, until = None, float("-inf")
+    for b in batches:
+        codes = []
+        for key, start, end in zip(zip(b["_k"].to_pylist(), b["_piece"].to_pylist()), b["_start"].to_pylist(), b["_end"].to_pylist()):
+            if key != of:
+                of, until = key, float("-inf")
+            free = start >= until
+            codes.append(None if free else 4409)
+            until = end if free else until
+        yield pa.RecordBatch.from_arrays([b["_k"], b["_o"], pa.array(codes, pa.int32())], ["session_id", "connection_id", "close_code"])
 
 
 def live_connections(connects: DataFrame) -> DataFrame:
-    """``connects``: session_id, connection_id, ts. The first connection of each session; later ones are refused (4409)."""
-    first = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "connection_id")) == 1
-    return connects.withColumn("close_code", F.when(~first, 4409))
+    """``connects``: session_id, connection_id, ts and closed_at (null or missing: still open). Adds close_code.
+
+    A session has one live connection; one that comes while another is live is refused (4409), and after a disconnect
+    the next is let in. Whether a connection is let in depends on the one before, so a session is a chain; it is cut where
+    all earlier connections are closed, and the pieces are dealt to the tasks. Null sessions and times are left out.
+    """
+    closed = F.col("closed_at") if "closed_at" in connects.columns else F.lit(None).cast("timestamp")
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    rows = connects.where(F.col("session_id").isNotNull() & F.col("ts").isNotNull())
+    rows = rows.select(F.col("session_id").alias("_k"), F.col("connection_id").alias("_o"), seconds(F.col("ts")).alias("_start"), F.when(closed.isNull(), float("inf")).otherwise(F.greatest(seconds(closed), seconds(F.col("ts")))).alias("_end"))
+    types = dict(connects.dtypes)
+    return chains.pieces(rows, 3600).mapInArrow(_accept, f"session_id {types['session_id']}, connection_id {types['connection_id']}, close_code int")
 
 
 def deliverable(responses: DataFrame, live: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions import pii, scores
 from larkspur.functions import text as T
 
 # Intents that need no retrieval.
@@ -15,7 +19,11 @@ LOW_RELEVANCE = "No passage that you may read answers this question well enough.
 RETRIEVAL_ERROR = "The search is not available at the moment. Please try again later."
 NO_CONTEXT = "There is no readable passage to answer from."
 FAILED = "An answer could not be composed from the passages found."
-INTENT_TYPES = {"intent": "intent string, confidence double", "refinement": "should_refine boolean, refined_query string, reason string", "small_talk": "response string"}
+REFUSED = "This request could not be verified. Please connect again and repeat it."
+# The fields of structured answers of models.
+INTENT = "intent string, confidence string"
+REFINEMENT = "should_refine boolean, refined_query string, reason string"
+SMALL_TALK_ANSWER = "response string"
 
 
 def examples(taxonomy: DataFrame) -> DataFrame:
@@ -26,20 +34,39 @@ def examples(taxonomy: DataFrame) -> DataFrame:
 def classify(questions: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Deterministic stand-in for the intent model: the intent whose examples share most words with the question.
 
-    Questions with national identity numbers aren't classified (they fail closed), those without a match are generic.
-    Returns query_id, intent, confidence.
+    Personal data is replaced by placeholders first; questions without a match are generic. Returns query_id, query (as
+    it may go on to a model), intent, confidence.
     """
-    safe = T.count_numbers("query") == 0
-    words = questions.where(safe).select("query_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    size = questions.select("query_id", F.size(F.array_distinct(T.tokens("query"))).alias("n"))
-    shared = words.join(examples(taxonomy), "term").groupBy("query_id", "intent").agg(F.count("*").alias("k"))
+    safe = questions.select("query_id", pii.redact("query").alias("query")).withColumn("_t", F.array_distinct(T.tokens(F.regexp_replace("query", pii.PLACEHOLDER, " "))))
+    shared = safe.select("query_id", F.explode("_t").alias("term")).join(examples(taxonomy), "term").groupBy("query_id", "intent").agg(F.count("*").alias("k"))
     best = shared.groupBy("query_id").agg(F.max_by("intent", F.struct("k", "intent")).alias("intent"), F.max("k").alias("k"))
-    out = questions.select("query_id", safe.alias("safe")).join(size, "query_id").join(best, "query_id", "left")
-    return out.select("query_id", F.when(F.col("safe"), F.coalesce("intent", F.lit(GENERIC))).alias("intent"), F.when(F.col("safe"), F.coalesce(F.col("k") / F.greatest("n", F.lit(1)), F.lit(0.0))).alias("confidence"))
+    out = safe.join(best, "query_id", "left")
+    return out.select("query_id", "query", F.coalesce("intent", F.lit(GENERIC)).alias("intent"), F.coalesce(F.col("k") / F.greatest(F.size("_t"), F.lit(1)), F.lit(0.0)).alias("confidence"))
+
 
+def classified(questions: DataFrame, known: list[str], ask: Callable[[Column], Column]) -> DataFrame:
+    """Intents by a model slot: ``ask`` gives a JSON answer (intent, confidence) for a question without personal data.
 
-def known_intent(intent: Column, known: list[str]) -> Column:
-    return F.when(intent.isin(known), intent).otherwise(F.lit(GENERIC))
+    Unknown intents are generic, unreadable confidences 0, the rest is cut to [0, 1].
+    """
+    safe = questions.select("query_id", pii.redact("query").alias("query"))
+    said = F.from_json(ask(F.col("query")), INTENT)
+    judged = safe.withColumn("_a", said)
+    intent = F.when(F.col("_a.intent").isin(known), F.col("_a.intent")).otherwise(F.lit(GENERIC))
+    return judged.select("query_id", "query", intent.alias("intent"), scores.confidence(F.col("_a.confidence")).alias("confidence"))
+
+
+def taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """intent, examples of a JSON file {intent: {"examples": [...]} or [...]}; a missing file has no intents."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "intent string, examples array<string>")
+    entries = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("intent", "body"))
+    listed = F.coalesce(F.from_json(F.get_json_object("body", "$.examples"), "array<string>"), F.from_json("body", "array<string>"), F.array().cast("array<string>"))
+    return entries.select("intent", listed.alias("examples"))
 
 
 def route_intent(intent: Column) -> Column:
@@ -88,5 +115,5 @@ def extractor(file_type: Column) -> Column:
 
 
 def run_status(dry_run: Column, files: Column, failed: Column) -> Column:
-    """Status of an ingestion run."""
+    """Status of an ingestion run of which ``files`` were processed and others failed."""
     return F.when(files == 0, "NO_FILES").when(dry_run & (failed > 0), "DRY_RUN_PARTIAL").when(dry_run, "DRY_RUN").when(failed > 0, "FAILED").otherwise("PUBLISHED")

@@ -8,14 +8,17 @@ vectors are shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import scores, text as T
+from larkspur.session import cut
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -27,23 +30,40 @@ THRESHOLD = 0.5
 DIGITS = 9
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``queries``: query_id, query. Returns query_id, term, once for each occurrence."""
-    return queries.select("query_id", F.explode(T.tokens("query")).alias("term"))
+@dataclass
+class Index:
+    """Tokenised rows, stored once for any number of questions, with the size and average length of all of them.
+
+    Rows stay together (an index by documents, not by terms): a task scores its own rows for a block of questions and
+    passes on the best of them, so no posting ever travels, however frequent its term.
+    """
+
+    rows: DataFrame
+    n: int
+    average: float
 
 
-def postings(docs: DataFrame, content: str = "content") -> DataFrame:
-    """``docs``: chunk_id and content. Returns term, chunk_id, tf, length: the inverted index, for storing."""
-    listed = docs.select("chunk_id", T.tokens(content).alias("t")).withColumn("length", F.size("t"))
-    return listed.select("chunk_id", "length", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")).select("term", "chunk_id", "tf", "length")
+def index(docs: DataFrame, content: str = "content") -> Index:
+    """``docs``: chunk_id, ``content``, allowed_role, file_name, file_type. The one pass over the texts; null contents don't
+    count in the statistics."""
+    tokens = docs.select(F.col("chunk_id").cast("string").alias("chunk_id"), "allowed_role", "file_name", "file_type", F.coalesce(F.col(content).rlike(r"\S"), F.lit(False)).alias("readable"), T.tokens(content).alias("t"))
+    stored = cut(tokens.withColumn("length", F.size("t")))
+    n, average = stored.agg(F.count("t"), F.avg("length")).first()
+    return Index(stored, n, float(average or 0.0))
 
 
-def term_weights(docs: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
-    """(inverse document frequency of the terms, average length) over all rows; one partially aggregated row a term."""
-    t = docs.select(T.tokens("content").alias("t"))
-    n, average = t.agg(F.count("*"), F.avg(F.size("t"))).first()
-    seen = t.select(F.explode(F.array_distinct(F.filter("t", lambda x: x.isin(terms)))).alias("term")).groupBy("term").count().collect()
-    return {r["term"]: float(np.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5))) for r in seen}, float(average or 0.0)
+def _only(terms: list[str]) -> Column:
+    """The tokens ``t`` that are among the terms: a hashed look-up in the JVM. Terms are letters and digits, so they need no
+    quoting; as one expression they are one message to the JVM, not one each."""
+    return F.expr("filter(t, x -> x in ({}))".format(", ".join(f"'{t}'" for t in terms)))
+
+
+def _weights(stored: Index, terms: list[str]) -> dict[str, float]:
+    """Inverse document frequency of the terms that occur; one partially aggregated row a term of a block of questions."""
+    if not terms:
+        return {}
+    seen = stored.rows.select(F.explode(F.array_distinct(_only(terms))).alias("term")).groupBy("term").count().collect()
+    return {r["term"]: float(np.log(1 + (stored.n - r["count"] + 0.5) / (r["count"] + 0.5))) for r in seen}
 
 
 class _Best:
@@ -82,24 +102,25 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
 
 
 def _block_bm25(block: list, idf: dict[str, float], average: float, k1: float, b: float, top: int):
-    terms = {t: i for i, t in enumerate(sorted(idf))}
+    terms = sorted(idf)
+    place = {t: i for i, t in enumerate(terms)}
     asked = np.zeros((len(terms), len(block)))
     for q, r in enumerate(block):
         for t in r["terms"]:
-            if t in terms:
-                asked[terms[t], q] += idf[t]
+            if t in place:
+                asked[place[t], q] += idf[t]
     ids, roles = [str(r["query_id"]) for r in block], [r["roles"] for r in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(ids, roles, top)
+        best, known = _Best(ids, roles, top), pa.array(terms, pa.string())
+        step = max(1, (1 << 22) // len(terms))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                listed = part["t"].to_pylist()
-                tf = np.zeros((len(listed), len(terms)))
-                for i, found in enumerate(listed):
-                    for t in found:
-                        tf[i, terms[t]] += 1
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                n, sizes = part.num_rows, np.asarray(pc.list_value_length(part["t"]), np.int64)
+                # Every token in these lists is a term of the block.
+                cell = np.repeat(np.arange(n), sizes) * len(terms) + np.asarray(pc.index_in(part["t"].flatten(), known), np.int64)
+                tf = np.bincount(cell, minlength=n * len(terms)).reshape(n, len(terms)).astype(float)
                 length = np.asarray(part["length"], float)[:, None]
                 scored = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(average, 1e-300)))) @ asked
                 best.add(CONTENT_WEIGHT * scored, part["chunk_id"].to_pylist(), part["allowed_role"].to_pylist(), scored > 0)
@@ -108,42 +129,42 @@ def _block_bm25(block: list, idf: dict[str, float], average: float, k1: float, b
     return run
 
 
-def content_bm25(docs: DataFrame, queries: DataFrame, top: int, k1: float = K1, b: float = B, block: int = 256) -> DataFrame:
+def content_bm25(stored: Index, queries: DataFrame, top: int, k1: float = K1, b: float = B, block: int = 256) -> DataFrame:
     """query_id, chunk_id, score: the weighted BM25 of the content, the best ``top`` permitted rows of each task.
 
-    Statistics cover all rows, whoever may read them. Questions go to the tasks in blocks of a fixed number, so no
-    posting is shuffled: a task scores its own rows against a block and passes on (questions x top) rows. Tokens are cut
-    in the JVM, and only the questions' terms reach Python.
+    Statistics cover all rows, whoever may read them. Questions go to the tasks in blocks of a fixed number; only the
+    questions' terms leave the JVM.
     """
     schema, out = "query_id string, chunk_id string, score double", None
     for part in _blocks(queries.select("query_id", "roles", T.tokens("query").alias("terms")), block):
-        idf, average = term_weights(docs, sorted({t for r in part for t in r["terms"]}))
+        idf = _weights(stored, sorted({t for r in part for t in r["terms"]}))
         if not idf:
             continue
         roles = sorted({x for r in part for x in r["roles"]})
-        rows = docs.where(F.col("allowed_role").isin(roles) & F.col("content").rlike(r"\S")).select(F.col("chunk_id").cast("string").alias("chunk_id"), "allowed_role", T.tokens("content").alias("all"))
-        rows = rows.select("chunk_id", "allowed_role", F.filter("all", lambda x: x.isin(list(idf))).alias("t"), F.size("all").alias("length"))
-        found = rows.mapInArrow(_block_bm25(part, idf, average, k1, b, top), schema)
+        rows = stored.rows.where(F.col("allowed_role").isin(roles) & F.col("readable")).select("chunk_id", "allowed_role", _only(list(idf)).alias("t"), "length").where(F.size("t") > 0)
+        found = rows.mapInArrow(_block_bm25(part, idf, stored.average, k1, b, top), schema)
         out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return stored.rows.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top: int = CANDIDATES) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, top: int = CANDIDATES, stored: Index | None = None) -> DataFrame:
     """``docs``: chunk_id, content, file_name, file_type, allowed_role; ``queries``: query_id, query, roles.
 
     Best field per row: the content's BM25 times 4, file name (times 2) and file type, which match as whole values only
     and then score their inverse document frequency. Returns query_id, chunk_id, bm25_score, bm25_rank of the permitted
-    rows with readable content; ties go to the smaller id. Questions without roles or words find nothing.
+    rows with readable content; ties go to the smaller id. Questions without roles or words find nothing. ``stored``: the
+    index of the contents, if the caller has one.
     """
     asked = queries.where((F.size("roles") > 0) & (F.trim("query") != ""))
-    found = content_bm25(docs, asked, top)
-    size = docs.select(F.count("*").alias("n_docs"))
-    readable = docs.where(F.col("content").rlike(r"\S"))
+    stored = stored or index(docs)
+    found = content_bm25(stored, asked, top)
     permitted = asked.select("query_id", "query", F.explode("roles").alias("allowed_role")).distinct()
     for field, weight in (("file_name", NAME_WEIGHT), ("file_type", TYPE_WEIGHT)):
-        df = docs.groupBy(F.col(field).alias("query")).agg(F.count("*").alias("df")).join(permitted.select("query").distinct(), "query").join(F.broadcast(size))
-        idf = F.lit(weight) * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        rows = permitted.join(df.select("query", idf.alias("score")), "query").join(readable.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col(field).alias("query"), "allowed_role"), ["query", "allowed_role"])
+        values = stored.rows.groupBy(F.col(field).alias("query")).agg(F.count("*").alias("df"))
+        named = values.join(permitted.select("query").distinct(), "query")
+        size = F.lit(stored.rows.where(F.col(field).isNotNull()).count())
+        idf = F.lit(weight) * F.log(1 + (size - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        rows = permitted.join(named.select("query", idf.alias("score")), "query").join(stored.rows.where("readable").select("chunk_id", F.col(field).alias("query"), "allowed_role"), ["query", "allowed_role"])
         found = found.unionByName(rows.select("query_id", "chunk_id", "score"))
     best = found.groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), DIGITS).alias("bm25_score"))
     return _ranked(best, "bm25_score", "bm25_rank", top).select("query_id", "chunk_id", "bm25_score", "bm25_rank")
@@ -246,18 +267,17 @@ def gate(ranked: DataFrame, threshold: float = THRESHOLD, score: str = "relevanc
     return ranked.withColumn("best_score", best).where(F.col("best_score") >= threshold)
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, candidates: int = CANDIDATES, top: int = TOP) -> DataFrame:
-    """BM25 and vector search, fused; the first ``top`` per question."""
-    lexical = bm25(docs, queries, candidates)
-    semantic = knn(docs, queries, candidates).select("query_id", "chunk_id", "ann_score", "ann_rank")
-    return rrf(lexical, semantic, top=top)
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top: int | None = TOP, candidates: int = CANDIDATES, stored: Index | None = None) -> DataFrame:
+    """BM25 and vector search, fused; the first ``top`` per question (all of them if that is None)."""
+    return rrf(bm25(docs, queries, candidates, stored), knn(vectors, queries, candidates).select("query_id", "chunk_id", "ann_score", "ann_rank"), top=top)
 
 
 def context(ranked: DataFrame, file_name: str = "file_name") -> DataFrame:
-    """Context of each question: its readable chunks in rank order under numbered source lines."""
-    readable = ranked.where(F.col("content").rlike(r"\S"))
+    """Context of each question: its readable chunks in rank order under source lines. The numbers count all its chunks."""
     w = Window.partitionBy("query_id").orderBy("rank")
-    numbered = readable.withColumn("i", F.row_number().over(w))
-    head = F.concat(F.lit("[Source "), F.col("i").cast("string"), F.lit(": "), F.coalesce(F.col(file_name), F.lit("Unknown document")), F.lit("; "), F.coalesce(F.col("chunk_id").cast("string"), F.concat(F.lit("chunk-"), F.col("i").cast("string"))), F.lit("]\n"))
+    numbered = ranked.withColumn("i", F.row_number().over(w)).where(F.col("content").rlike(r"\S"))
+    filled = lambda c, other: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")), other)
+    name, chunk = filled(file_name, F.lit("Unknown document")), filled("chunk_id", F.concat(F.lit("chunk-"), F.col("i").cast("string")))
+    head = F.concat(F.lit("[Source "), F.col("i").cast("string"), F.lit(": "), name, F.lit("; chunk "), chunk, F.lit("]\n"))
     block = numbered.withColumn("block", F.concat(head, T.strip("content")))
     return block.groupBy("query_id").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("i", "block"))), lambda s: s["block"])).alias("context"))

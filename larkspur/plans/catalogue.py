@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import crypto, scores
+from larkspur.functions import crypto, pii
 from larkspur.functions import text as T
 from larkspur.operators import cache, chunker, evaluation, memory, metrics, policy, routing, search
 from larkspur.sources import generations
@@ -102,8 +102,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score
 @query(_SEARCH_SQL + "SELECT query_id, chunk_id, CAST(coalesce(bm25_rank, 0) AS BIGINT) AS bm25_rank, CAST(coalesce(ann_rank, 0) AS BIGINT) AS ann_rank, rrf_score, CAST(rrf_rank AS BIGINT) AS rrf_rank FROM ranked WHERE rrf_rank <= 5")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Permission-scoped hybrid search: role filter, BM25, exact vectors, rank fusion, first five. A missing rank is 0."""
-    q = _questions(spark, d)
-    found = search.rrf(search.bm25(_docs(spark, d), q), search.knn(_vectors(spark, d), q).drop("v"), top=search.TOP)
+    found = search.hybrid(_docs(spark, d), _vectors(spark, d), _questions(spark, d))
     rank = lambda c: _long(F.coalesce(c, F.lit(0))).alias(c)
     return found.select("query_id", "chunk_id", rank("bm25_rank"), rank("ann_rank"), "rrf_score", rank("rrf_rank"))
 
@@ -120,8 +119,7 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SEARCH_SQL + "SELECT query_id, chunk_id, rrf_score, CAST(rrf_rank AS BIGINT) AS rrf_rank FROM ranked")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    q = _questions(spark, d)
-    found = search.rrf(search.bm25(_docs(spark, d), q), search.knn(_vectors(spark, d), q))
+    found = search.hybrid(_docs(spark, d), _vectors(spark, d), _questions(spark, d), None)
     return found.select("query_id", "chunk_id", "rrf_score", _long("rrf_rank").alias("rrf_rank"))
 
 
@@ -138,18 +136,18 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_scor
 def rerank_gate(spark: SparkSession, d: str) -> DataFrame:
     """Candidates reranked by the stand-in scorer, first five, behind the relevance gate."""
     q, docs = _questions(spark, d), _docs(spark, d)
-    fused = search.rrf(search.bm25(docs, q), search.knn(_vectors(spark, d), q), top=search.CANDIDATES).select("query_id", "chunk_id", "rrf_rank")
+    fused = search.hybrid(docs, _vectors(spark, d), q, search.CANDIDATES).select("query_id", "chunk_id", "rrf_rank")
     return search.gate(search.rerank(fused, q, docs)).select("query_id", "chunk_id", F.round("relevance_score", 6).alias("relevance_score"), _long("rank").alias("rank"))
 
 
 @query(
     _SEARCH_SQL
-    + """SELECT query_id, string_agg('[Source ' || rrf_rank || ': ' || coalesce(source, 'Unknown document') || '; ' || chunk_id || ']' || chr(10) || regexp_replace(text, '^[\\s\\xA0]+|[\\s\\xA0]+$', '', 'g'), chr(10) ORDER BY rrf_rank) AS context
+    + """SELECT query_id, string_agg('[Source ' || rrf_rank || ': ' || coalesce(source, 'Unknown document') || '; chunk ' || chunk_id || ']' || chr(10) || regexp_replace(text, '^[\\s\\xA0]+|[\\s\\xA0]+$', '', 'g'), chr(10) ORDER BY rrf_rank) AS context
 FROM ranked JOIN (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source FROM documents) USING (chunk_id) JOIN docs USING (chunk_id) WHERE rrf_rank <= 5 AND query_id IN (SELECT query_id FROM ranked) AND regexp_matches(text, '\\S') GROUP BY ALL"""
 )
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _questions(spark, d), _docs(spark, d)
-    fused = search.rrf(search.bm25(docs, q), search.knn(_vectors(spark, d), q), top=search.TOP)
+    fused = search.hybrid(docs, _vectors(spark, d), q)
     return search.context(fused.join(docs.select("chunk_id", "content", "file_name"), "chunk_id").withColumnRenamed("rrf_rank", "rank"))
 
 
@@ -162,7 +160,7 @@ SELECT t.query_id, count(*) AS relevant, count(h.item) AS found, round(count(h.i
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Share of each case's source files among the files of the first five hits."""
     q, docs = _questions(spark, d), _docs(spark, d)
-    fused = search.rrf(search.bm25(docs, q), search.knn(_vectors(spark, d), q), top=search.TOP)
+    fused = search.hybrid(docs, _vectors(spark, d), q)
     hits = fused.join(docs.select("chunk_id", F.col("file_name").alias("item")), "chunk_id").select("query_id", "item", F.col("rrf_rank").alias("rank"))
     truth = table(spark, d, "eval_cases").select(F.col("id").alias("query_id"), F.explode(F.array_distinct("source_documents")).alias("item"))
     return evaluation.recall_at_k(hits, truth, 5).withColumn("recall", F.round("recall", 6))
@@ -256,13 +254,21 @@ def query_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_cases").select("id", T.query_key("input").alias("query_key"))
 
 
-@query(
-    """SELECT id, 'rag:answer:' || sha256('{"candidate_k":50,"index":"kb_live","permission_scope":"scope-1","query":"' || replace(replace(lower(trim(regexp_replace(input, '\\s+', ' ', 'g'))), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '","threshold":0.5,"top_k":5,"version":1}') AS cache_key FROM eval_cases"""
-)
-def cache_key(spark: SparkSession, d: str) -> DataFrame:
-    key = crypto.cache_key(F.col("input"), F.lit("scope-1"), index="kb_live", threshold=0.5, top_k=5, candidate_k=50, version=1)
-    return table(spark, d, "eval_cases").select("id", key.alias("cache_key"))
+_ESCAPED = "array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN printf('\\\\u%04x\\\\u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) WHEN unicode(c) > 127 THEN printf('\\\\u%04x', unicode(c)) ELSE c END), '')"
+_QUERY_JSON = _ESCAPED.replace("\\\\", "\\").format(x="replace(replace(lower(trim(regexp_replace({t}, '\\s+', ' ', 'g'))), chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')")
+_KEY_OF = """'rag:answer:' || sha256('{"cache_version":"1","candidate_k":"50","embedding_model":"embedder-1","gemini_model":"chat-1","index":"kb_live","permission_scope":"' || {scope} || '","query":"' || {q} || '","reranker_model":"reranker-1","retrieval_threshold":"0.5","top_k":"5"}')"""
+
 
+def _key(query: Column, scope: Column) -> Column:
+    return crypto.cache_key(query, scope, "kb_live", "chat-1", "embedder-1", "reranker-1")
+
+
+@query("SELECT id, " + _KEY_OF.replace("{scope}", "'scope-1'").replace("{q}", _QUERY_JSON.replace("{t}", "t")) + " AS cache_key FROM (SELECT id, input AS t FROM eval_cases UNION ALL SELECT DISTINCT turn_id, user_message FROM conversations) WHERE regexp_matches(t, '\\S')")
+def cache_key(spark: SparkSession, d: str) -> DataFrame:
+    """Cache keys of the evaluation questions and of all messages, which also hold other scripts."""
+    turns = table(spark, d, "conversations").select(F.col("turn_id").alias("id"), F.col("user_message").alias("t")).distinct()
+    rows = table(spark, d, "eval_cases").select("id", F.col("input").alias("t")).unionByName(turns).where(F.col("t").rlike(r"\S"))
+    return rows.select("id", _key(F.col("t"), F.lit("scope-1")).alias("cache_key"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -285,9 +291,8 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH b AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), lambda x: x <> '') AS blocks,
-list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), lambda x: x <> '') AS lines FROM documents)
-SELECT doc_id, CAST(len(p) AS BIGINT) AS n_paragraphs, p[1] AS first_paragraph FROM (SELECT doc_id, CASE WHEN len(blocks) > 1 THEN blocks WHEN len(lines) > 0 THEN lines ELSE [text] END AS p FROM b)"""
+    r"""SELECT doc_id, CAST(len(p) AS BIGINT) AS n_paragraphs, p[1] AS first_paragraph FROM (
+SELECT doc_id, CASE WHEN len(blocks) > 0 THEN blocks ELSE [text] END AS p FROM (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n[\s\x{00A0}]*\n'), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), lambda x: x <> '') AS blocks FROM documents))"""
 )
 def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "documents").select("doc_id", T.paragraphs("text").alias("p"))
@@ -308,13 +313,23 @@ def fixed_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunker.fixed_windows(table(spark, d, "documents").select("doc_id", "text")).withColumn("piece_no", _long("piece_no"))
 
 
-@query(
-    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\b[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}\b', '<IN_AADHAAR>', 'g'), '\b[A-Z]{5}\d{4}[A-Z]\b', '<IN_PAN>', 'g') AS redacted FROM (SELECT turn_id AS doc_id, user_message AS text FROM conversations UNION SELECT turn_id, bot_response FROM conversations) WHERE text IS NOT NULL"""
-)
-def redact_numbers(spark: SparkSession, d: str) -> DataFrame:
+def _redacted_sql() -> str:
+    text = "text"
+    for name, pattern in pii.PATTERNS[:-1]:
+        text = f"regexp_replace({text}, '{pattern}', '<{name}>', 'g')"
+    # DuckDB's expressions know no look-around: the characters around a phone number are captured, in two passes for neighbours.
+    phone = pii.PATTERNS[-1][1].removeprefix(r"(?<![\w+])").removesuffix(r"(?!\w)")
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(^|[^\\w+])(?:{phone})($|\\W)', '\\1<PHONE_NUMBER>\\2', 'g')"
+    return f"SELECT doc_id, {text} AS redacted FROM (SELECT turn_id AS doc_id, user_message AS text FROM conversations UNION SELECT turn_id, bot_response FROM conversations) WHERE text IS NOT NULL"
+
+
+@query(_redacted_sql())
+def redact_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as they may go to a model: personal data of a fixed form replaced by typed placeholders."""
     t = table(spark, d, "conversations")
     rows = t.select(F.col("turn_id").alias("doc_id"), F.col("user_message").alias("text")).union(t.select("turn_id", "bot_response")).where("text is not null").distinct()
-    return rows.select("doc_id", T.redact_numbers("text").alias("redacted"))
+    return rows.select("doc_id", pii.redact("text").alias("redacted"))
 
 
 @query("SELECT DISTINCT file_name, CASE WHEN lower(file_name) LIKE '%.pdf' THEN 'pdf' WHEN lower(file_name) LIKE '%.docx' THEN 'docx' WHEN lower(file_name) LIKE '%.pptx' THEN 'pptx' END AS file_type FROM ingestion_state")
@@ -331,9 +346,18 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select("doc_id", "ord", "text", F.lit("paragraph").alias("element_type"), none.cast("int").alias("heading_level"), none.cast("int").alias("page"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+n AS (SELECT doc_id, pos, regexp_replace(regexp_replace(replace(raw, chr(13), chr(10)), '[ \t]+', ' ', 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS line FROM l),
+h AS (SELECT *, regexp_matches(line, '(?i)^Chapter\s+\d+\s+[^.!?]{3,120}$') OR regexp_matches(line, '^\d+(?:\.\d+)+\s+[^.!?]{3,120}$') OR regexp_matches(line, '^\d+\.\s+[A-Z][^.!?]{3,120}$') AS head FROM n WHERE line <> ''),
+s AS (SELECT *, sum(head::INT) OVER w AS part, last_value(CASE WHEN head THEN line END IGNORE NULLS) OVER w AS heading FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, part ORDER BY pos) AS before FROM s WHERE NOT head)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS BIGINT) AS section_no, coalesce(heading, '') AS heading, body FROM
+(SELECT doc_id, part, any_value(heading) AS heading, string_agg(CASE WHEN before IS NULL THEN '' WHEN regexp_matches(before, '[.!?]"?$|\)$') THEN chr(10) || chr(10) ELSE ' ' END || line, '' ORDER BY pos) AS body FROM b GROUP BY ALL)"""
+)
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    return chunker.build_sections(_elements(spark, d))
+    s = chunker.build_sections(_elements(spark, d))
+    return s.select("doc_id", _long("section_no").alias("section_no"), F.coalesce("heading", F.lit("")).alias("heading"), "body")
 
 
 @query()
@@ -348,7 +372,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def near_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Near duplicates among the stored chunks of each run."""
-    runs = table(spark, d, "ingestion_state").select("run_id", "chunks").dropDuplicates(["run_id"])
+    runs = table(spark, d, "ingestion_state").groupBy("run_id").agg(F.max("chunks").alias("chunks"))
     rows = spread(runs).select(F.col("run_id").alias("doc_id"), F.posexplode("chunks").alias("ord", "c")).select("doc_id", "ord", F.lit("").alias("heading"), F.lit("").alias("subheading"), F.col("c.content").alias("content"))
     return chunker.near_first(rows).select("doc_id", _long("ord").alias("ord"))
 
@@ -411,41 +435,74 @@ def stm_latest(spark: SparkSession, d: str) -> DataFrame:
     return memory.latest(rows, ["session_id"], ["timestamp", "turn_id"]).select("session_id", "turn_id", "last_user_message", "last_bot_message")
 
 
-@query(f"SELECT turn_id, user_message, coalesce(bot_response, '') AS bot_response FROM {_TURNS_SQL} WHERE scope_id IS NOT NULL AND trim(scope_id) <> '' AND (user_id, session_id, scope_id) IN (SELECT (min(user_id), min(session_id), min(scope_id)) FROM {_TURNS_SQL} GROUP BY session_id)")
-def scoped_memory(spark: SparkSession, d: str) -> DataFrame:
-    """Turns that their session's own user and scope may recall: an equi-join on the three keys; null scopes see nothing."""
-    t = _turns(spark, d)
-    key = t.groupBy("session_id").agg(F.min("user_id").alias("user_id"), F.min("scope_id").alias("scope_id"))
-    seen = t.where(F.trim("scope_id") != "").join(key, ["session_id", "user_id", "scope_id"], "left_semi")
-    return memory.hits(seen.withColumn("s", F.lit(0.0)), "s", "score").select("turn_id", "user_message", "bot_response")
+_SCOPED = "scope_id IS NOT NULL AND trim(scope_id) <> ''"
+_LTM_SQL = f"""
+WITH t AS (SELECT DISTINCT turn_id, user_id, session_id, scope_id, user_message, bot_response FROM conversations),
+tok AS (SELECT turn_id, user_id, session_id, scope_id, 'u' AS f, regexp_extract_all(lower(user_message), '[\\p{{L}}\\p{{N}}]+') AS w FROM t WHERE user_message IS NOT NULL
+  UNION ALL SELECT turn_id, user_id, session_id, scope_id, 'b', regexp_extract_all(lower(bot_response), '[\\p{{L}}\\p{{N}}]+') FROM t WHERE bot_response IS NOT NULL),
+st AS (SELECT f, count(*) AS n, avg(len(w)) AS a FROM tok GROUP BY 1),
+df AS (SELECT f, term, count(*) AS df FROM (SELECT f, unnest(list_distinct(w)) AS term FROM tok) GROUP BY ALL),
+qt AS (SELECT turn_id AS query_id, user_id, session_id, scope_id, unnest(regexp_extract_all(lower(user_message), '[\\p{{L}}\\p{{N}}]+')) AS term FROM t WHERE {_SCOPED}),
+tf AS (SELECT turn_id, f, term, count(*) AS tf, any_value(n) AS len FROM (SELECT turn_id, f, len(w) AS n, unnest(w) AS term FROM tok) GROUP BY ALL),
+sc AS (SELECT q.query_id, k.turn_id AS chunk_id, k.f, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.len / a))) AS s
+  FROM qt q JOIN tok k USING (user_id, session_id, scope_id) JOIN tf ON tf.turn_id = k.turn_id AND tf.f = k.f AND tf.term = q.term JOIN df ON df.f = k.f AND df.term = q.term JOIN st ON st.f = k.f GROUP BY ALL),
+lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS r FROM (SELECT query_id, chunk_id, round(max(s), 9) AS bm25_score FROM sc GROUP BY ALL) WHERE bm25_score > 0 QUALIFY r <= 10),
+v AS (SELECT DISTINCT turn_id, user_id, session_id, scope_id, CAST(combined_embedding AS DOUBLE[]) AS x FROM conversations WHERE len(combined_embedding) > 0 AND len(list_filter(combined_embedding, lambda e: e IS NULL OR isnan(e))) = 0 AND len(list_filter(combined_embedding, lambda e: e <> 0)) > 0),
+sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM (SELECT DISTINCT a.turn_id AS query_id, b.turn_id AS chunk_id, round(list_inner_product(a.x, b.x) / sqrt(list_inner_product(a.x, a.x) * list_inner_product(b.x, b.x)), 9) AS cosine
+  FROM v a JOIN v b USING (user_id, session_id, scope_id) WHERE {_SCOPED} AND len(a.x) = len(b.x)) QUALIFY r <= 10)"""
 
 
-def _recall_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Lexical and semantic lists: events by hour stand in for questions, their values and payloads for scores."""
-    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH").alias("query_id"), F.col("event_id").cast("string").alias("chunk_id"), "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    return e.where("event_type in ('view', 'click', 'error')").select("query_id", "chunk_id", F.col("value").alias("bm25_score")), e.where("event_type <> 'view'").select("query_id", "chunk_id", (F.col("k") / 100).alias("cosine"))
+def _ltm(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All turns, and each of them as a question to the memory of its own user, session and scope."""
+    t = table(spark, d, "conversations").select("turn_id", "user_id", "session_id", "scope_id", "user_message", "bot_response", "combined_embedding", "timestamp").distinct()
+    return t, t.select(F.col("turn_id").alias("query_id"), F.col("user_message").alias("query"), F.col("combined_embedding").alias("v"), *memory.KEYS)
 
 
-@query(
-    """WITH e AS (SELECT strftime(ts, '%Y-%m-%d %H') AS query_id, CAST(event_id AS VARCHAR) AS chunk_id, event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
-l0 AS (SELECT query_id, chunk_id, CASE WHEN max(value) OVER w = min(value) OVER w THEN 1.0 ELSE (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END::DOUBLE AS bm25_norm FROM e WHERE event_type IN ('view', 'click', 'error') WINDOW w AS (PARTITION BY query_id)),
-l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_norm DESC, chunk_id) AS r1 FROM l0),
-r AS (SELECT query_id, chunk_id, (1 + k / 100) / 2 AS raw FROM e WHERE event_type <> 'view' AND (1 + k / 100) / 2 >= 0.6::DOUBLE),
-s0 AS (SELECT query_id, chunk_id, CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1.0 ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END::DOUBLE AS semantic_score FROM r WINDOW w AS (PARTITION BY query_id)),
-s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC, chunk_id) AS r2 FROM s0),
-f AS (SELECT query_id, chunk_id, bm25_norm, semantic_score, r1, r2, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 12) AS rrf FROM l FULL JOIN s USING (query_id, chunk_id)),
-g AS (SELECT *, CASE WHEN max(rrf) OVER w = min(rrf) OVER w THEN 1.0 ELSE (rrf - min(rrf) OVER w) / (max(rrf) OVER w - min(rrf) OVER w) END::DOUBLE AS fused, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST, chunk_id) AS k FROM f WINDOW w AS (PARTITION BY query_id))
-SELECT query_id, chunk_id, round(coalesce(semantic_score, 0), 6) AS semantic_score, round(fused, 6) AS fused_score, CAST(k AS BIGINT) AS rrf_rank FROM g WHERE k <= 3 AND coalesce(semantic_score, 0) >= 0.6"""
+@query(_LTM_SQL + " SELECT query_id, chunk_id, bm25_score FROM lex")
+def ltm_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 in long-term memory."""
+    return memory.lexical(*_ltm(spark, d))
+
+
+@query(_LTM_SQL + " SELECT query_id, chunk_id, cosine FROM sem")
+def ltm_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """Vector search in long-term memory."""
+    return memory.semantic(*_ltm(spark, d))
+
+
+def _scaled_sql(x: str) -> str:
+    return f"CASE WHEN max({x}) OVER w = min({x}) OVER w THEN 1.0::DOUBLE ELSE ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) END"
+
+
+_FUSED_SQL = (
+    _LTM_SQL
+    + f""", l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_norm DESC, chunk_id) AS r1 FROM (SELECT query_id, chunk_id, {_scaled_sql("bm25_score")} AS bm25_norm FROM lex WINDOW w AS (PARTITION BY query_id))),
+s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC, chunk_id) AS r2 FROM (SELECT query_id, chunk_id, {_scaled_sql("raw")} AS semantic_score FROM (SELECT query_id, chunk_id, (1 + cosine) / 2 AS raw FROM sem WHERE (1 + cosine) / 2 >= 0.6::DOUBLE) WINDOW w AS (PARTITION BY query_id))),
+f AS (SELECT query_id, chunk_id, semantic_score, r1, r2, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 12) AS rrf FROM l FULL JOIN s USING (query_id, chunk_id)),
+g AS (SELECT *, {_scaled_sql("rrf")} AS fused, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST, chunk_id) AS k FROM f WINDOW w AS (PARTITION BY query_id))"""
 )
+
+
+@query(_FUSED_SQL + " SELECT query_id, chunk_id, round(coalesce(semantic_score, 0), 6) AS semantic_score, round(fused, 6) AS fused_score, CAST(k AS BIGINT) AS rrf_rank FROM g WHERE k <= 3 AND coalesce(semantic_score, 0) >= 0.6")
 def ltm_fused(spark: SparkSession, d: str) -> DataFrame:
-    """Fused recall of long-term memory: normalise, fuse, first three, threshold."""
-    lexical, semantic = _recall_lists(spark, d)
-    return memory.recall(lexical, semantic).select("query_id", "chunk_id", F.round("semantic_score", 6).alias("semantic_score"), F.round("fused_score", 6).alias("fused_score"), _long("rrf_rank").alias("rrf_rank"))
+    """Fused recall of long-term memory: both searches, normalised, fused, first three, threshold."""
+    t, q = _ltm(spark, d)
+    found = memory.recall(memory.lexical(t, q), memory.semantic(t, q))
+    return found.select("query_id", "chunk_id", F.round("semantic_score", 6).alias("semantic_score"), F.round("fused_score", 6).alias("fused_score"), _long("rrf_rank").alias("rrf_rank"))
+
+
+@query(f"SELECT query_id, turn_id, user_message, coalesce(bot_response, '') AS bot_response, round(cosine, 6) AS score FROM (SELECT * FROM sem WHERE r <= 1) JOIN t ON t.turn_id = chunk_id".join([_LTM_SQL + " ", ""]))
+def scoped_memory(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest turn that each turn may recall, as callers see it: an equi-join on user, session and scope; null scopes see nothing."""
+    t, q = _ltm(spark, d)
+    found = memory.semantic(t, q, top=1).withColumnRenamed("chunk_id", "turn_id").join(t, "turn_id")
+    rows = found.join(memory.hits(found, "cosine", "score").select("turn_id", F.col("user_message").alias("_u"), F.col("bot_response").alias("_b")).distinct(), "turn_id")
+    return rows.select("query_id", "turn_id", F.col("_u").alias("user_message"), F.col("_b").alias("bot_response"), F.round("cosine", 6).alias("score")).distinct()
 
 
 @query("SELECT event_id, round(CASE WHEN max(value) OVER w = min(value) OVER w THEN 1.0 ELSE (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END, 6)::DOUBLE AS norm FROM events WINDOW w AS (PARTITION BY user_id)")
 def minmax_norm(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.round(scores.min_max(F.col("value"), "user_id"), 6).alias("norm"))
+    return memory.scaled(table(spark, d, "events").select("event_id", "user_id", "value"), "value", "norm", "user_id").select("event_id", F.round("norm", 6).alias("norm"))
 
 
 # --- Cache, freshness, routes ----------------------------------------------------------------------------------------
@@ -480,19 +537,31 @@ def error_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", routing.error_outcome(name).alias("outcome"))
 
 
-@query("SELECT event_type AS session_id, CAST(event_id AS VARCHAR) AS connection_id, CAST(CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY ts, CAST(event_id AS VARCHAR)) > 1 THEN 4409 ELSE 0 END AS BIGINT) AS close_code FROM events")
+@query(
+    f"""WITH RECURSIVE e AS (SELECT session_id, turn_id, epoch_us(timestamp) AS s, greatest(epoch_us(stored_at), epoch_us(timestamp)) AS e, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, turn_id) AS i FROM (SELECT DISTINCT session_id, turn_id, timestamp, stored_at FROM conversations)),
+r AS (SELECT session_id, turn_id, i, 0 AS code, e AS until FROM e WHERE i = 1 UNION ALL
+SELECT e.session_id, e.turn_id, e.i, CASE WHEN e.s >= r.until THEN 0 ELSE 4409 END, CASE WHEN e.s >= r.until THEN e.e ELSE r.until END FROM r JOIN e ON e.session_id = r.session_id AND e.i = r.i + 1)
+SELECT session_id, turn_id AS connection_id, CAST(code AS BIGINT) AS close_code FROM r"""
+)
 def live_connections(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("event_type").alias("session_id"), F.col("event_id").cast("string").alias("connection_id"), "ts")
+    """Turns as connections that end when the turn is stored: one that comes while another of its session is live is refused."""
+    e = table(spark, d, "conversations").select("session_id", F.col("turn_id").alias("connection_id"), F.col("timestamp").alias("ts"), F.col("stored_at").alias("closed_at")).distinct()
     return policy.live_connections(e).select("session_id", "connection_id", _long(F.coalesce("close_code", F.lit(0))).alias("close_code"))
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT DISTINCT source_documents[1] AS intent, unnest(regexp_extract_all(lower(input), '[\\p{{L}}\\p{{N}}]+')) AS term FROM eval_cases WHERE source_documents[1] IS NOT NULL),
+q AS (SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(regexp_replace(redacted, '{pii.PLACEHOLDER}', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')) AS w FROM ({_redacted_sql().replace("UNION SELECT turn_id, bot_response FROM conversations", "")})),
+k AS (SELECT query_id, intent, count(*) AS k FROM (SELECT DISTINCT query_id, unnest(w) AS term FROM q) JOIN e USING (term) GROUP BY ALL),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, intent DESC) = 1)
+SELECT DISTINCT q.query_id, coalesce(intent, 'generic_query') AS intent, round(coalesce(k / greatest(len(w), 1), 0)::DOUBLE, 6) AS confidence FROM q LEFT JOIN b USING (query_id)"""
+)
 def intent_classify(spark: SparkSession, d: str) -> DataFrame:
     """Intents by the words that examples share; sources' first questions stand in for the taxonomy."""
     cases = table(spark, d, "eval_cases")
     taxonomy = cases.groupBy(F.element_at("source_documents", 1).alias("intent")).agg(F.collect_list("input").alias("examples")).where("intent is not null")
     turns = table(spark, d, "conversations").select(F.col("turn_id").alias("query_id"), F.col("user_message").alias("query")).distinct()
-    return routing.classify(turns, taxonomy)
+    return routing.classify(turns, taxonomy).select("query_id", "intent", F.round("confidence", 6).alias("confidence")).distinct()
 
 
 # --- Metrics ---------------------------------------------------------------------------------------------------------

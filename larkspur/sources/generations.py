@@ -22,10 +22,12 @@ def generation_name(base: str, now: datetime | None = None) -> str:
 
 
 class Generations:
-    def __init__(self, spark: SparkSession, root: str, base: str):
+    """Generations of one collection. ``alias`` is the name of the live one, by default the base with _live."""
+
+    def __init__(self, spark: SparkSession, root: str, base: str, alias: str | None = None):
         if not re.fullmatch(r"[a-z0-9_-]+", base):
             raise ValueError("a collection's name has lower-case letters, digits, _ and - only")
-        self.spark, self.root, self.base = spark, root.rstrip("/"), base
+        self.spark, self.root, self.base, self.alias = spark, root.rstrip("/"), base, alias or f"{base}_live"
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -34,17 +36,33 @@ class Generations:
     def location(self, generation: str) -> str:
         return f"{self.root}/{generation}"
 
+    def _pointer(self, base: str) -> str | None:
+        """What a pointer file names."""
+        pointer = self._path(f"{self.root}/{POINTER}-{base}")
+        if not self._fs.exists(pointer):
+            return None
+        stream = self._fs.open(pointer)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
     def live(self) -> str | None:
-        """Name of the live generation: the pointer's, else the first one that exists under the plain name."""
-        pointer = self._path(f"{self.root}/{POINTER}-{self.base}")
-        if self._fs.exists(pointer):
-            stream = self._fs.open(pointer)
-            try:
-                return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-            finally:
-                stream.close()
-        first = f"{self.base}-000001"
-        return first if self._fs.exists(self._path(self.location(first))) else None
+        """Name of the live generation: the pointer's; else what the plain name stands for, which may be a pointer of
+        its own (to one generation only) or a folder; else the first generation, if it exists."""
+        if named := self._pointer(self.alias):
+            return named
+        if self._fs.exists(self._path(self.location(self.alias))):
+            raise ValueError(f"{self.alias} is a generation of its own, so it can't be the name of the live one")
+        if older := self._pointer(self.base):
+            targets = older.split()
+            if len(targets) != 1:
+                raise ValueError(f"{self.base} stands for several generations: {', '.join(targets)}")
+            return targets[0]
+        for name in (self.base, f"{self.base}-000001"):
+            if self._fs.exists(self._path(self.location(name))):
+                return name
+        return None
 
     def read(self) -> DataFrame | None:
         name = self.live()
@@ -64,7 +82,7 @@ class Generations:
             raise ValueError(f"{failed} files failed; {generation} is not published")
         if expected_rows is not None and rows != expected_rows or produced is not None and produced != rows:
             raise ValueError(f"{generation} has {rows} rows, expected {expected_rows}, produced {produced}; it is not published")
-        pointer, new = self._path(f"{self.root}/{POINTER}-{self.base}"), self._path(f"{self.root}/.{POINTER}-{self.base}-{uuid.uuid4().hex}")
+        pointer, new = self._path(f"{self.root}/{POINTER}-{self.alias}"), self._path(f"{self.root}/.{POINTER}-{self.alias}-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
         out.write(bytearray(generation.encode()))
         out.close()

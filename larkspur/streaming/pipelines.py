@@ -14,6 +14,11 @@ from larkspur.operators.memory import HISTORY
 from larkspur.sources import generations, topics
 
 
+#: Watermark of the keyed states, and seconds after its last turn that a session is kept.
+LATE = "10 minutes"
+IDLE_SECONDS = 7 * 86_400
+
+
 def run_stage(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> int:
     """Runs a stream over all that is there, then ends. A batch is committed after its write; returns the batches run."""
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -60,41 +65,63 @@ def staged(spark: SparkSession, store: str) -> DataFrame:
     return generations.last_by_key(spark.read.parquet(store), "chunk_id", ["batch"]).drop("batch")
 
 
-def sliding_history(stream: DataFrame, session: str, order: str, value: str, n: int = HISTORY) -> DataFrame:
-    """Running turn numbers and the last ``n`` values of each session, one row per turn; state holds those values only."""
-    out = f"{session} string, {order} long, turn_no long, history array<string>"
+def _until(state: GroupState, value: tuple, seconds: float) -> None:
+    """Keeps a state until the watermark passes a time; what is past already isn't kept."""
+    if seconds * 1000 > state.getCurrentWatermarkMs():
+        state.update(value)
+        state.setTimeoutTimestamp(int(seconds * 1000))
+    elif state.exists:
+        state.remove()
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, history = state.get if state.exists else (0, [])
-        history = list(history)
-        for pdf in parts:
-            rows = []
-            for o, v in pdf.sort_values(order)[[order, value]].itertuples(index=False):
-                count += 1
-                history = [v, *history][:n]
-                rows.append((key[0], o, count, history))
-            yield pd.DataFrame(rows, columns=[session, order, "turn_no", "history"])
-        state.update((count, history))
 
-    return stream.groupBy(session).applyInPandasWithState(step, out, "count long, history array<string>", "append", GroupStateTimeout.NoTimeout)
+def sliding_history(stream: DataFrame, session: str, ts: str, order: str, value: str, n: int = HISTORY, idle: float = IDLE_SECONDS, late: str = LATE) -> DataFrame:
+    """Running turn numbers and the last ``n`` values of each session, one row per turn, in the order of ``ts`` and ``order``.
 
+    A session's state holds those values only and ends once the watermark is ``idle`` seconds past its last turn; a
+    session that comes back after that starts anew. Turns later than the watermark are dropped.
+    """
+    out = f"{session} string, {order} long, turn_no long, history array<string>"
 
-def ttl_hits(stream: DataFrame, key: str, seconds: str, order: str, ttl: int = TTL_SECONDS) -> DataFrame:
-    """Cache lookups with their outcome; the state of a key is the time of the last write."""
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, history, last = state.get if state.exists else (0, [], 0.0)
+        history = list(history)
+        turns = pd.concat(parts).sort_values([ts, order])
+        rows = []
+        for t, o, v in turns[[ts, order, value]].itertuples(index=False):
+            count, last = count + 1, max(last, t.timestamp())
+            history = [v, *history][:n]
+            rows.append((key[0], o, count, history))
+        _until(state, (count, history, last), last + idle)
+        yield pd.DataFrame(rows, columns=[session, order, "turn_no", "history"])
+
+    rows = stream.withWatermark(ts, late)
+    return rows.groupBy(session).applyInPandasWithState(step, out, "count long, history array<string>, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ttl_hits(stream: DataFrame, key: str, ts: str, order: str, ttl: int = TTL_SECONDS, late: str = LATE) -> DataFrame:
+    """Cache lookups with their outcome. The state of a key is the time of the last write, and it ends with the entry: once
+    the watermark is ``ttl`` past it, no lookup that still counts can hit it."""
     out = f"{key} string, {order} long, hit boolean"
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         written = state.get[0] if state.exists else None
-        for pdf in parts:
-            rows = []
-            for s, o in pdf.sort_values([seconds, order])[[seconds, order]].itertuples(index=False):
-                hit = written is not None and s - written < ttl
-                written = written if hit else float(s)
-                rows.append((k[0], o, hit))
-            yield pd.DataFrame(rows, columns=[key, order, "hit"])
-        state.update((written,))
-
-    return stream.groupBy(key).applyInPandasWithState(step, out, "written double", "append", GroupStateTimeout.NoTimeout)
+        rows = []
+        for t, o in pd.concat(parts).sort_values([ts, order])[[ts, order]].itertuples(index=False):
+            s = t.timestamp()
+            hit = written is not None and s - written < ttl
+            written = written if hit else s
+            rows.append((k[0], o, hit))
+        _until(state, (written,), written + ttl)
+        yield pd.DataFrame(rows, columns=[key, order, "hit"])
+
+    rows = stream.withWatermark(ts, late)
+    return rows.groupBy(key).applyInPandasWithState(step, out, "written double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: list[str], seconds: int = 300, late: str = "10 minutes") -> DataFrame:

@@ -25,6 +25,12 @@ def test_packing_overlap_and_hard_splits():
         C.limits(0, 0)
 
 
+def test_text_without_blank_lines_is_one_paragraph():
+    assert C.windowed("line one\nline two\nline three") == ["line one\nline two\nline three"]
+    assert C.windowed("one\n\n \n") == ["one"] and C.windowed(" \n ") == []
+    assert C.windowed("A first line.\nA second line.", 16, 0) == ["A first line.", "A second line."]
+
+
 def element(text, kind="paragraph", level=None, page=None):
     return {"text": text, "element_type": kind, "heading_level": level, "page": page}
 

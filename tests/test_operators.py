@@ -1,6 +1,8 @@
+import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,28 @@ def test_fusion_gate_and_context(spark):
     with pytest.raises(ValueError):
         search.gate(r, 1.5)
     c = spark.createDataFrame([("q", 1, "c1", " one ", "f"), ("q", 2, None, "two", None), ("q", 3, "c3", " ", "f")], "query_id string, rank int, chunk_id string, content string, file_name string")
-    assert search.context(c).first()["context"] == "[Source 1: f; c1]\none\n[Source 2: Unknown document; chunk-2]\ntwo"
+    assert search.context(c).first()["context"] == "[Source 1: f; chunk c1]\none\n[Source 2: Unknown document; chunk chunk-2]\ntwo"
+    blank = spark.createDataFrame([("q", 1, "c1", " ", "f"), ("q", 2, "", "two", "")], "query_id string, rank int, chunk_id string, content string, file_name string")
+    assert search.context(blank).first()["context"] == "[Source 2: Unknown document; chunk chunk-2]\ntwo"
+
+
+def test_one_index_serves_many_blocks_of_questions(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(str(i), " ".join(rnd.choices(words, k=rnd.randint(1, 30))), f"f{i % 3}", "pdf", f"r{i % 2}") for i in range(120)], DOC)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rnd.choices(words, k=3)), ["r0", "r1"][: 1 + i % 2]) for i in range(20)], "query_id string, query string, roles array<string>")
+    stored = search.index(docs)
+    once = search.content_bm25(stored, asked, 200).collect()
+    assert sorted(once) == sorted(search.content_bm25(stored, asked, 200, block=7).collect())
+    texts = {r.chunk_id: r.content.split() for r in docs.collect()}
+    average = sum(map(len, texts.values())) / len(texts)
+    q0 = asked.first()
+    want = {}
+    for c, t in texts.items():
+        s = sum(math.log(1 + (120 - n + 0.5) / (n + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / average)) for w in q0.query.split() if (n := sum(w in x for x in texts.values())))
+        if s and f"r{int(c) % 2}" in q0.roles:
+            want[c] = 4 * s
+    assert {r.chunk_id: r.score for r in once if r.query_id == q0.query_id} == pytest.approx(want)
 
 
 def test_memory(spark):
@@ -100,6 +123,55 @@ def test_policy(spark):
     assert policy.visible(docs, [], "file_name").count() == 0
     code = lambda o, a, c: spark.range(1).select(policy.admitted(F.lit(o).cast("string"), ["ok"], F.lit(a).cast("string"), F.lit(c).cast("string"))).first()[0]
     assert [code("ok", "Bearer t", None), code("bad", "bearer t", None), code(None, None, "c"), code("ok", None, None), code("ok", None, "c")] == [None, 4403, 4403, 4401, None]
+    assert [code(None, "Bearer t", "c"), code(" ", "BEARER t", None), code(" ", None, "c"), code(None, "Bearer  ", None), code("", "Basic t", None), code("bad", None, None)] == [4403, None, 4403, 4401, 4401, 4403]
+
+
+def test_one_live_connection_at_a_time(spark):
+    start = datetime(2024, 1, 1)
+    at = lambda m: None if m is None else start + timedelta(minutes=m)
+    rows = [("s", "a", 0, 90), ("s", "b", 10, 20), ("s", "c", 89, 300), ("s", "d", 90, 95), ("s", "e", 96, None), ("s", "f", 9000, 9001), ("t", "g", 5, 4), ("t", "h", 5, 6), (None, "x", 1, 2), ("s", "y", None, 2)]
+    df = spark.createDataFrame([(s, c, at(a), at(b)) for s, c, a, b in rows], "session_id string, connection_id string, ts timestamp, closed_at timestamp")
+    live = policy.live_connections(df)
+    assert {r.connection_id: r.close_code for r in live.collect()} == {"a": None, "b": 4409, "c": 4409, "d": None, "e": None, "f": 4409, "g": None, "h": None}
+    said = spark.createDataFrame([("s", "a", 1), ("s", "b", 2), ("s", None, 3)], "session_id string, connection_id string, n int")
+    assert [r.n for r in policy.deliverable(said, live).collect()] == [1]
+    assert {r.close_code for r in policy.live_connections(df.drop("closed_at").where("session_id = 's' and ts is not null")).collect()} == {None, 4409}
+
+
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr("larkspur.operators.components.MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="settled"):
+        components(spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string"))
+
+
+def test_quantiles_are_exact_at_any_accuracy(spark):
+    rnd = random.Random(2)
+    rows = [("a", rnd.expovariate(1) - 0.1) for _ in range(3000)] + [("b", 1.0)] * 50 + [("c", 7.0), ("c", None), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        for accuracy in (20, 20_000):
+            got = {r.k: r["quantile"] for r in metrics.quantile(df, ["k"], "v", q, accuracy).collect()}
+            want = {k: float(np.quantile([max(0.0, v) for x, v in rows if x == k and v is not None], q)) for k in ("a", "b", "c", None)}
+            assert got == pytest.approx(want)
+    assert metrics.quantile(df.limit(0), ["k"], "v", 0.5).count() == 0
+
+
+def test_sessions_are_cut_into_slices_and_blocks(spark):
+    rnd, start = random.Random(3), datetime(2024, 1, 1)
+    rows = [("s" if i % 3 else "t", start + timedelta(hours=rnd.randint(0, 90)), i) for i in range(200)] + [(None, start, 900), ("s", None, 901)]
+    df = spark.createDataFrame(rows, "s string, ts timestamp, i long")
+    got = {r.i: r.turn_no for r in memory.numbered(df, ["s"], ["ts", "i"], 7200).collect()}
+    for s in ("s", "t", None):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1] or start, r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    small = {r.i: r.history for r in memory.history_at(df, ["s"], ["ts", "i"], F.col("i"), 4, block=5).collect()}
+    whole = {r.i: r.history for r in memory.history_at(df, ["s"], ["ts", "i"], F.col("i"), 4).collect()}
+    assert small == whole and len(small) == len(rows)
+
+
+def test_scaling_leaves_no_group_whole(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 5.0), (None, 1.0)], "query_id string, x double")
+    assert sorted((r.query_id, r.y) for r in memory.scaled(df, "x", "y").collect()) == [("a", 0.0), ("a", 0.5), ("a", 1.0), ("b", 1.0)]
 
 
 def test_role_filter_reaches_the_scan(spark, tmp_path):
@@ -130,6 +202,17 @@ def test_routes(spark):
     assert one(routing.fallback(F.lit("low_relevance"), F.lit("x"), F.lit("y"))) == routing.LOW_RELEVANCE and one(routing.synthesized(F.lit(0), F.lit("c"), F.lit("a"))) == routing.NO_CONTEXT
     with pytest.raises(Exception, match="no reader"):
         one(routing.extractor(F.lit("txt")))
-    q = spark.createDataFrame([("1", "open an account"), ("2", "zzz"), ("3", "id 2345 6789 0123 account")], "query_id string, query string")
+    q = spark.createDataFrame([("1", "open an account"), ("2", "zzz"), ("3", "id 2345 6789 0123 account"), ("4", None)], "query_id string, query string")
     tax = spark.createDataFrame([("open", ["open account", "new account"]), ("close", ["close it"])], "intent string, examples array<string>")
-    assert {r.query_id: r.intent for r in routing.classify(q, tax).collect()} == {"1": "open", "2": "generic_query", "3": None}
+    assert {r.query_id: r.intent for r in routing.classify(q, tax).collect()} == {"1": "open", "2": "generic_query", "3": "open", "4": "generic_query"}
+    assert {r.query_id: r.query for r in routing.classify(q, tax).collect()}["3"] == "id <IN_AADHAAR> account"
+    said = lambda c: F.when(c.contains("zzz"), '{"intent":"made up","confidence":"high"}').when(c.contains("open"), '{"intent":"open","confidence":7}')
+    assert sorted((r.query_id, r.intent, r.confidence) for r in routing.classified(q, ["open"], said).collect()) == [("1", "open", 1.0), ("2", "generic_query", 0.0), ("3", "generic_query", 0.0), ("4", "generic_query", 0.0)]
+    status = lambda dry, n, bad: one(routing.run_status(F.lit(dry), F.lit(n), F.lit(bad)))
+    assert [status(*x) for x in ((True, 2, 1), (True, 2, 0), (False, 0, 3), (False, 2, 1), (False, 2, 0))] == ["DRY_RUN_PARTIAL", "DRY_RUN", "NO_FILES", "FAILED", "PUBLISHED"]
+
+
+def test_taxonomy(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"open": {"description": "d", "examples": ["open account"]}, "close": ["close it"], "none": {}}')
+    assert {r.intent: r.examples for r in routing.taxonomy(spark, str(tmp_path / "t.json")).collect()} == {"open": ["open account"], "close": ["close it"], "none": []}
+    assert routing.taxonomy(spark, str(tmp_path / "missing.json")).count() == 0
