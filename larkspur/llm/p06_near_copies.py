@@ -1,13 +1,10 @@
 """Problem 6: records that share most of their content after small edits.
 
 Contents are compared as sets of three consecutive words. Copies are collapsed to representatives first. Every
-representative gets a fingerprint of min-hashes, cut to two bits each for distances; representatives that agree in
-one of several bands of full min-hashes meet in a self-join whose condition is a distance between fingerprints, so
-only close pairs leave the join. The survivors are verified on their texts by the exact similarity.
-
-Distances to reference fingerprints (a pivot table) are kept in ``pivot_table`` and ``pivot_bound``; the README
-gives the measured reason why they don't choose the candidates here: at this similarity the triangle inequality
-can't tell near copies from unrelated texts.
+representative gets a fingerprint of min-hashes, cut to two bits each for distances. Representatives that agree in one
+of several bands of full min-hashes are compared by the distance of their fingerprints, block by block, where they
+meet, so only close pairs leave the task. The survivors are verified on their texts by the exact similarity. The README
+gives the measured reason why distances to reference fingerprints (a pivot table) can't choose the candidates here.
 
 Defined results: null ids and contents and contents of fewer than ``min_words`` words are left out; repeated rows
 count once; rows equal in the sense of problem 5 are no pair; an empty table gives no rows.
@@ -20,13 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.p05_format_copies import content_hashes, mix
 from larkspur.llm.text import words
 from larkspur.operators.components import components
-from larkspur.operators.skew import join_by_key
+from larkspur.operators.skew import HOT_ROWS, MOST_HOT, join_by_key
 from larkspur.session import cut
 
 MIN_WORDS = 40
@@ -37,6 +34,13 @@ ROWS = 3
 SEED = 7
 #: Standard deviations of slack that the fingerprint test leaves at the least similarity.
 SLACK = 4.5
+#: Rows of a part of a band that many rows share, and one in how many rows is looked at to find such bands.
+HOT_BAND = 4096
+HOT_SHARE = 64
+#: Parts of a class of very many copies.
+PARTS = 16
+#: Rows of fingerprints that are compared with as many others at once.
+TILE = 1024
 _U = np.uint64
 
 
@@ -104,16 +108,6 @@ def band_keys(hashes: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def pivot_table(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints (rows x words) to every reference fingerprint."""
-    return np.bitwise_count(prints[:, None, :] ^ references[None, :, :]).sum(2, dtype=np.int64)
-
-
-def pivot_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The largest coordinate difference of two rows of a pivot table: a lower bound of their Hamming distance."""
-    return np.abs(a - b).max(-1)
-
-
 def _keys(min_words: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -165,19 +159,80 @@ def _similar(shingle: int, least: float):
     return run
 
 
-def _differing(a: str, b: str, words_: int) -> Column:
-    """Two-bit symbols in which the fingerprints of two sides of a join differ."""
-    odd = F.lit(0x5555555555555555)
-    parts = []
-    for i in range(words_):
-        x = F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))
-        parts.append(F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(odd)))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two-bit symbols in which each fingerprint of ``a`` differs from each of ``b`` (rows x words both)."""
+    odd, total = _U(0x5555555555555555), np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        x = a[:, None, k] ^ b[None, :, k]
+        total += np.bitwise_count((x | x >> _U(1)) & odd)
     return total
 
 
+def close_in_band(vid: np.ndarray, prints: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller vid, larger vid) of one band whose fingerprints differ in at most ``most`` symbols.
+
+    All rows are compared in tiles, however many there are. ``side`` marks two blocks of a split band, of which only pairs
+    across are wanted.
+    """
+    rows, others = (np.arange(len(vid)), np.arange(len(vid))) if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
+    out = []
+    for i in range(0, len(rows), TILE):
+        for j in range(i if side is None else 0, len(others), TILE):
+            r, o = rows[i : i + TILE], others[j : j + TILE]
+            x, y = np.nonzero(_differing(prints[r], prints[o]) <= most)
+            a, b = vid[r[x]], vid[o[y]]
+            keep = a < b if side is None and i == j else a != b
+            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _met(words_: int, most: int):
+    """Close pairs of rows that come sorted by band, part and other part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: np.ndarray | None = None  # rows of a band that may go on in the next batch
+
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            new = (rows[1:, :3] != rows[:-1, :3]).any(1)
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
+            sizes = np.diff(starts)
+            found = []
+            # Bands of two, most of all, are compared all at once.
+            two = starts[:-1][sizes == 2]
+            if len(two):
+                x, y = rows[two], rows[two + 1]
+                bits = x[:, 5:].astype(_U) ^ y[:, 5:].astype(_U)
+                apart = np.bitwise_count((bits | bits >> _U(1)) & _U(0x5555555555555555)).sum(1, dtype=np.int64)
+                keep = (apart <= most) & (x[:, 3] != y[:, 3]) & ((x[:, 1] == x[:, 2]) | (x[:, 4] != y[:, 4]))
+                found.append((np.minimum(x[keep, 3], y[keep, 3]), np.maximum(x[keep, 3], y[keep, 3])))
+            for k in np.flatnonzero(sizes > 2):
+                own = rows[starts[k] : starts[k + 1]]
+                split = own[0, 1] != own[0, 2]
+                found.append(close_in_band(own[:, 3], own[:, 5:].astype(_U), most, own[:, 4] == own[0, 2] if split else None))
+            a, b = (np.concatenate(f) for f in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            if len(a):
+                both = np.unique(np.stack([a, b], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["vid_a", "vid_b"])
+
+        for b in batches:
+            rows = np.stack([np.asarray(b[c], np.int64) for c in ("band", "part", "other", "vid", "own", *(f"p{i}" for i in range(words_)))], axis=1)
+            if left is not None:
+                rows = np.concatenate([left, rows])
+            if not len(rows):
+                continue
+            last = int(np.argmax((rows[:, :3] == rows[-1, :3]).all(1)))
+            yield from pairs(rows[:last])
+            left = rows[last:]
+        if left is not None:
+            yield from pairs(left)
+
+    return run
+
+
 def most_differing(count: int, least: float) -> int:
     """Symbols that may differ at the least similarity, with slack for chance. A symbol agrees with J + (1 - J) / 4."""
     differ = 0.75 * (1 - least)
@@ -201,14 +256,18 @@ def class_pairs(rows: DataFrame, members: DataFrame, least: float = LEAST, bands
     texts = cut(texts.withColumn("vid", F.monotonically_increasing_id()))
     n = -(-bands * band_rows // 32)
     schema = "vid long, " + "".join(f"p{i} long, " for i in range(n)) + "bands array<long>"
-    printed = texts.select("vid", "content").mapInArrow(_prints(bands, band_rows, shingle, seed), schema)
-    banded = printed.select("vid", *(f"p{i}" for i in range(n)), F.explode("bands").alias("band"))
-    # Both sides plan to the same exchange, so it is written once. It is left to the join, not asked for by repartition():
-    # only such exchanges are split by the skew join where many texts share a band.
-    dealt = banded
-    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.vid") < F.col("b.vid")) & (_differing("a", "b", n) <= most_differing(bands * band_rows, least))
-    close = dealt.alias("a").hint("merge").join(dealt.alias("b"), near).select(F.col("a.vid").alias("vid_a"), F.col("b.vid").alias("vid_b"))
-    pairs = cut(close.select("vid_a", "vid_b").distinct())
+    fields = ["vid", *(f"p{i}" for i in range(n))]
+    printed = lambda rows: rows.select("vid", "content").mapInArrow(_prints(bands, band_rows, shingle, seed), schema)
+    banded = printed(texts).select(*fields, F.explode("bands").alias("band"))
+    # Bands that many rows share are cut into parts of about HOT_BAND rows, and every two parts meet in a group of their
+    # own. Which bands these are is told by a hashed share of the rows; it decides who does the work, not what comes out.
+    share = texts.where(F.pmod(F.xxhash64("vid"), F.lit(HOT_SHARE)) == 0)
+    hot = printed(share).select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_SHARE >= HOT_BAND).orderBy(F.desc("_n")).limit(MOST_HOT).select("band", (F.floor(F.col("_n") * HOT_SHARE / HOT_BAND) + 1).cast("int").alias("_parts"))
+    own = F.pmod(F.xxhash64("vid", F.lit(1)), F.coalesce("_parts", F.lit(1))).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1), lambda o: F.struct(F.least("own", o).alias("part"), F.greatest("own", o).alias("other")))
+    dealt = banded.join(F.broadcast(hot), "band", "left").withColumn("own", own).select(*fields, "band", "own", F.explode(meets).alias("m")).select("band", "m.part", "m.other", "own", *fields)
+    met = dealt.repartition("band", "part", "other").sortWithinPartitions("band", "part", "other").mapInArrow(_met(n, most_differing(bands * band_rows, least)), "vid_a long, vid_b long")
+    pairs = cut(met.distinct())
     of = lambda s: texts.select(F.col("vid").alias(f"vid_{s}"), F.col("id").alias(f"rep_{s}"), F.col("h1").alias(f"h1_{s}"), F.col("h2").alias(f"h2_{s}"), F.col("content").alias(f"content_{s}"))
     both = pairs.join(of("a"), "vid_a").join(of("b"), "vid_b").where("h1_a <> h1_b or h2_a <> h2_b")
     return both.select("rep_a", "rep_b", "content_a", "content_b").mapInArrow(_similar(shingle, least), "rep_a string, rep_b string")
@@ -218,9 +277,17 @@ def near_copies(rows: DataFrame, least: float = LEAST, min_words: int = MIN_WORD
     """id_a < id_b: every pair of rows whose similarity is at least ``least`` and that aren't copies of each other."""
     members = classes(rows, min_words)
     pairs = class_pairs(rows, members, least, **settings)
-    a = members.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"))
-    b = members.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    return pairs.join(a, "rep_a").join(b, "rep_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    # Classes of many copies are salted: their members are dealt out, and their pairs are repeated for each part.
+    size = members.where("id = rep").select("rep", "n")
+    part = F.when(F.col("n") > HOT_ROWS, F.pmod(F.xxhash64("id"), F.lit(PARTS))).otherwise(0).cast("int")
+
+    def expanded(some: DataFrame, of: str, name: str) -> DataFrame:
+        parts = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HOT_ROWS, PARTS - 1).otherwise(0))).alias("part")
+        spread = some.join(size.withColumnRenamed("rep", of), of).select(*some.columns, parts)
+        return spread.join(members.select(F.col("rep").alias(of), F.col("id").alias(name), part.alias("part")), [of, "part"]).drop(of, "part")
+
+    both = expanded(expanded(pairs, "rep_a", "x"), "rep_b", "y")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def near_copy_groups(rows: DataFrame, least: float = LEAST, min_words: int = MIN_WORDS, **settings) -> DataFrame:

@@ -57,12 +57,30 @@ def test_nulls_empty_repeats(spark):
     assert P.near_copies(spark.createDataFrame([], "id string, content string")).count() == 0
 
 
-def test_pivot_bound_is_a_lower_bound():
+def test_hot_bands_and_classes_are_split_without_losing_a_pair(spark, monkeypatch):
+    docs = texts(7, 25)
+    docs |= {f"c{i}": docs["a000"].upper() + "!" * i for i in range(6)} | {f"d{i}": docs["b000"] + "." * i for i in range(4)}
+    frame = spark.createDataFrame(list(docs.items()), "id string, content string")
+    plain = {tuple(r) for r in P.near_copies(frame).collect()}
+    monkeypatch.setattr(P, "HOT_BAND", 2)
+    monkeypatch.setattr(P, "HOT_SHARE", 1)
+    monkeypatch.setattr(P, "HOT_ROWS", 3)
+    assert {tuple(r) for r in P.near_copies(frame).collect()} == plain
+    assert len(plain) >= 25 and len({p for p in plain if p[0][0] + p[1][0] == "cd"}) in (0, 24)
+
+
+def test_rows_of_a_band_are_compared_tile_by_tile(monkeypatch):
+    monkeypatch.setattr(P, "TILE", 7)
     rng = np.random.default_rng(0)
-    prints = rng.integers(0, 1 << 63, (50, 4), dtype=np.int64).astype(np.uint64)
-    table = P.pivot_table(prints, prints[:8])
-    distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
-    assert all(P.pivot_bound(table[i], table[j]) <= distance[i, j] for i in range(50) for j in range(50))
+    prints = rng.integers(0, 1 << 6, (40, 2), dtype=np.int64).astype(np.uint64)
+    vid = rng.permutation(40)
+    differ = [[sum((int(x) ^ int(y)) >> k & 3 > 0 for x, y in zip(prints[i], prints[j]) for k in range(0, 64, 2)) for j in range(40)] for i in range(40)]
+    want = {(min(vid[i], vid[j]), max(vid[i], vid[j])) for i in range(40) for j in range(i) if differ[i][j] <= 3}
+    a, b = P.close_in_band(vid, prints, 3)
+    assert set(zip(a, b)) == want and len(a) == len(want)
+    side = vid % 3 == 0
+    a, b = P.close_in_band(vid, prints, 3, side)
+    assert set(zip(a, b)) == {(x, y) for x, y in want if (x % 3 == 0) != (y % 3 == 0)}
 
 
 def test_minhashes_estimate_similarity():
