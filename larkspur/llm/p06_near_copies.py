@@ -171,8 +171,8 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def close_in_band(vid: np.ndarray, prints: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (smaller vid, larger vid) of one band whose fingerprints differ in at most ``most`` symbols.
 
-    All rows are compared in tiles, however many there are. ``side`` marks two blocks of a split band, of which only pairs
-    across are wanted.
+    All rows are compared in tiles, however many there are. ``side`` marks the second of two parts of a split band, of
+    which only pairs across are wanted; a part that meets itself has no second one.
     """
     rows, others = (np.arange(len(vid)), np.arange(len(vid))) if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
     out = []
@@ -189,7 +189,7 @@ def close_in_band(vid: np.ndarray, prints: np.ndarray, most: int, side: np.ndarr
 
 
 def _met(words_: int, most: int):
-    """Close pairs of rows that come sorted by band, part and other part."""
+    """Close pairs of rows that come sorted by where they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: np.ndarray | None = None  # rows of a band that may go on in the next batch
@@ -197,34 +197,33 @@ def _met(words_: int, most: int):
         def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(rows) < 2:
                 return
-            new = (rows[1:, :3] != rows[:-1, :3]).any(1)
-            starts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
+            starts = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]])
             sizes = np.diff(starts)
             found = []
-            # Bands of two, most of all, are compared all at once.
+            # Groups of two, most of all, are compared all at once.
             two = starts[:-1][sizes == 2]
             if len(two):
                 x, y = rows[two], rows[two + 1]
-                bits = x[:, 5:].astype(_U) ^ y[:, 5:].astype(_U)
+                bits = x[:, 3:].view(_U) ^ y[:, 3:].view(_U)
                 apart = np.bitwise_count((bits | bits >> _U(1)) & _U(0x5555555555555555)).sum(1, dtype=np.int64)
-                keep = (apart <= most) & (x[:, 3] != y[:, 3]) & ((x[:, 1] == x[:, 2]) | (x[:, 4] != y[:, 4]))
-                found.append((np.minimum(x[keep, 3], y[keep, 3]), np.maximum(x[keep, 3], y[keep, 3])))
+                keep = (apart <= most) & (x[:, 2] != y[:, 2])
+                found.append((np.minimum(x[keep, 2], y[keep, 2]), np.maximum(x[keep, 2], y[keep, 2])))
             for k in np.flatnonzero(sizes > 2):
                 own = rows[starts[k] : starts[k + 1]]
-                split = own[0, 1] != own[0, 2]
-                found.append(close_in_band(own[:, 3], own[:, 5:].astype(_U), most, own[:, 4] == own[0, 2] if split else None))
+                side = own[:, 1] > 0
+                found.append(close_in_band(own[:, 2], own[:, 3:].view(_U), most, side if side.any() else None))
             a, b = (np.concatenate(f) for f in zip(*found)) if found else (np.empty(0, np.int64),) * 2
             if len(a):
                 both = np.unique(np.stack([a, b], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["vid_a", "vid_b"])
 
         for b in batches:
-            rows = np.stack([np.asarray(b[c], np.int64) for c in ("band", "part", "other", "vid", "own", *(f"p{i}" for i in range(words_)))], axis=1)
+            rows = np.stack([np.asarray(b[c]).astype(np.int64) for c in ("meeting", "side", "vid", *(f"p{i}" for i in range(words_)))], axis=1)
             if left is not None:
                 rows = np.concatenate([left, rows])
             if not len(rows):
                 continue
-            last = int(np.argmax((rows[:, :3] == rows[-1, :3]).all(1)))
+            last = int(np.argmax(rows[:, 0] == rows[-1, 0]))
             yield from pairs(rows[:last])
             left = rows[last:]
         if left is not None:
@@ -264,9 +263,11 @@ def class_pairs(rows: DataFrame, members: DataFrame, least: float = LEAST, bands
     share = texts.where(F.pmod(F.xxhash64("vid"), F.lit(HOT_SHARE)) == 0)
     hot = printed(share).select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_SHARE >= HOT_BAND).orderBy(F.desc("_n")).limit(MOST_HOT).select("band", (F.floor(F.col("_n") * HOT_SHARE / HOT_BAND) + 1).cast("int").alias("_parts"))
     own = F.pmod(F.xxhash64("vid", F.lit(1)), F.coalesce("_parts", F.lit(1))).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1), lambda o: F.struct(F.least("own", o).alias("part"), F.greatest("own", o).alias("other")))
-    dealt = banded.join(F.broadcast(hot), "band", "left").withColumn("own", own).select(*fields, "band", "own", F.explode(meets).alias("m")).select("band", "m.part", "m.other", "own", *fields)
-    met = dealt.repartition("band", "part", "other").sortWithinPartitions("band", "part", "other").mapInArrow(_met(n, most_differing(bands * band_rows, least)), "vid_a long, vid_b long")
+    # A group is the band, or a hash of the band and two of its parts; ``side`` marks the rows of the second part.
+    two = lambda o: F.struct(F.xxhash64("band", F.least("own", o), F.greatest("own", o)).alias("meeting"), (F.col("own") > o).alias("side"))
+    meets = F.when(F.col("_parts") > 1, F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), two)).otherwise(F.array(F.struct(F.col("band").alias("meeting"), F.lit(False).alias("side"))))
+    dealt = banded.join(F.broadcast(hot), "band", "left").withColumn("own", own).select(*fields, F.explode(meets).alias("m")).select("m.meeting", "m.side", *fields)
+    met = dealt.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_met(n, most_differing(bands * band_rows, least)), "vid_a long, vid_b long")
     pairs = cut(met.distinct())
     of = lambda s: texts.select(F.col("vid").alias(f"vid_{s}"), F.col("id").alias(f"rep_{s}"), F.col("h1").alias(f"h1_{s}"), F.col("h2").alias(f"h2_{s}"), F.col("content").alias(f"content_{s}"))
     both = pairs.join(of("a"), "vid_a").join(of("b"), "vid_b").where("h1_a <> h1_b or h2_a <> h2_b")
