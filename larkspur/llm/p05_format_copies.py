@@ -1,10 +1,11 @@
 """Problem 5: records that differ only in white space, case, punctuation or the order of named fields.
 
-The characters of a whole Arrow batch run through one look-up table that skips everything but letters and digits
-and folds case; two rolling polynomial hashes are summed per row from the folded values, so no canonical string is
-ever built. Content that consists of named fields (a JSON object, or ``name: value`` items) gets the sum of its
-fields' hashes, which doesn't depend on their order. Rows with equal hashes are verified against the smallest id of
-their group by a comparison with two pointers that skip what the table skips.
+The characters of an Arrow batch run, slice by slice, through one look-up table that skips everything but letters and
+digits and folds case; two rolling polynomial hashes are summed per row from the folded values, so no canonical string
+is ever built. Content that consists of named fields (a JSON object, or ``name: value`` items) gets the sum of its
+fields' hashes, which doesn't depend on their order; fields of nested objects count under the path of their names. Rows
+with equal hashes are verified against the smallest id of their group by a comparison with two pointers that skip what
+the table skips.
 
 Defined results: rows with a null id or null content, and content without letters or digits, are left out. Repeated
 rows count once. A field named twice counts twice. A content of only one ``name: value`` item is plain text.
@@ -29,7 +30,10 @@ from larkspur.session import cut
 
 #: Bases of the two polynomials (odd, so that powers keep all 64 bits).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-MAX_NAME_WORDS = 4
+#: Characters that are hashed at once.
+SLICE = 1 << 20
+#: Separates the names of a path.
+PATH = "\x1f"
 _U = np.uint64
 
 
@@ -61,54 +65,88 @@ def powers(which: int, n: int) -> np.ndarray:
         return np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(BASES[which]))]), dtype=_U)
 
 
+def _slices(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """(text number, piece) in order, pieces of about ``SLICE`` characters in all at a time."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        for k in range(0, len(t), SLICE):
+            group.append((i, t[k : k + SLICE]))
+            size += len(group[-1][1])
+            if size >= SLICE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def rolling_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the number of letters and digits and its two polynomial hashes over them."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    folded = fold_table()[codes]
-    keep = folded != 0
-    before = np.concatenate([[0], np.cumsum(keep)])
-    ends = np.cumsum(sizes)
-    first, last = before[ends - sizes], before[ends]
-    count = last - first
-    folded = folded[keep].astype(_U)
-    at = np.arange(len(folded)) - np.repeat(first, count)
-    length = 1 << int(max(10, int(count.max(initial=1)).bit_length()))
-    out = []
+    count, totals = np.zeros(len(texts), np.int64), np.zeros((2, len(texts)), _U)
     with np.errstate(over="ignore"):
-        for which in (0, 1):
-            values = mix(folded + _U(which << 32)) * powers(which, length)[at]
-            total = np.concatenate([[_U(0)], np.cumsum(values, dtype=_U)])
-            out.append(mix(total[last] - total[first] + count.astype(_U)))
-    return count, out[0], out[1]
-
-
-_FIRST = re.compile(r"[\W_]*[^\W\d_][\w ]{0,40}?\s*[:=]|\s*\{")
-_ITEM = re.compile(r"[\W_]*?([^\W\d_](?:[\w /().-]{0,40}[\w)])?)\s*[:=](?![/\d])\s*(.*?)[\s;|,]*", re.S)
+        for group in _slices(texts):
+            rows = np.fromiter((i for i, _ in group), np.int64, len(group))
+            sizes = np.fromiter((len(t) for _, t in group), np.int64, len(group))
+            folded = fold_table()[np.frombuffer("".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            keep = folded != 0
+            before = np.concatenate([[0], np.cumsum(keep)])
+            ends = np.cumsum(sizes)
+            first, last = before[ends - sizes], before[ends]
+            folded = folded[keep].astype(_U)
+            at = np.arange(len(folded)) - np.repeat(first, last - first)
+            for which in (0, 1):
+                values = mix(folded + _U(which << 32)) * powers(which, 2 * SLICE)[at]
+                total = np.concatenate([[_U(0)], np.cumsum(values, dtype=_U)])
+                # A piece that isn't the first of its text begins at a higher power.
+                shift = np.array([pow(BASES[which], int(count[i]), 1 << 64) for i in rows], _U)
+                np.add.at(totals[which], rows, (total[last] - total[first]) * shift)
+            np.add.at(count, rows, last - first)
+        return count, mix(totals[0] + count.astype(_U)), mix(totals[1] + count.astype(_U))
+
+
+_FIRST = re.compile(r"[\W_]*[^\W\d_][^:=\n]*[:=]|\s*\{")
+_ITEM = re.compile(r"[\W_]*?([^\W\d_](?:[^:=]*[\w)])?)\s*[:=](?!//)\s*(.*?)[\s;|,]*", re.S)
+_TIME = re.compile(r"[\W_]*?[^\W\d_][^:=]*\d[:=]\d")
+
+
+def _object_fields(pairs: list, path: str = "") -> Iterator[tuple[str, str]]:
+    """Names and values of a JSON object whose members come as pairs; lists keep their order under numbers."""
+    for k, v in pairs:
+        name = f"{path}{k}"
+        if isinstance(v, list) and v:
+            nested = v if isinstance(v[0], tuple) else list(enumerate(v))
+            yield from _object_fields(nested, name + PATH)
+        else:
+            yield name, v if isinstance(v, str) else json.dumps(v)
 
 
 def named_fields(text: str) -> list[tuple[str, str]] | None:
-    """Names and values of a text that consists of nothing but named fields, else None."""
+    """Names and values of a text that consists of nothing but named fields, else None. Times and addresses of web pages
+    are no fields."""
     if not _FIRST.match(text):
         return None
     if text.lstrip()[:1] == "{":
         try:
             pairs = json.loads(text, object_pairs_hook=list)
-        except ValueError:
+        except (ValueError, RecursionError):
             pairs = None
         if isinstance(pairs, list) and pairs and all(isinstance(p, tuple) for p in pairs):
-            return [(str(k), v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in pairs]
+            return list(_object_fields(pairs))
     body = text.strip().strip("{}[]")
     for separator in ("\n", "|", ";", ","):
         items = [x for x in body.split(separator) if any(c.isalnum() for c in x)]
         if len(items) < 2:
             continue
-        found = [_ITEM.fullmatch(x) for x in items]
-        if all(found) and all(len(m[1].split()) <= MAX_NAME_WORDS for m in found):
+        found = [None if _TIME.match(x) else _ITEM.fullmatch(x) for x in items]
+        if all(found):
             return [(m[1], m[2]) for m in found]
     return None
 
 
+def _path_salt(name: str) -> int:
+    """Tells names of one path from other splits of the same letters; 0 for a plain name."""
+    return hash(tuple(sum(map(str.isalnum, x)) for x in name.split(PATH))) & 0xFFFFFFFFFFFF if PATH in name else 0
+
+
 def content_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(letters and digits, hash, hash) of each text, with named fields taken without their order."""
     count, h1, h2 = rolling_hashes(texts)
@@ -119,9 +157,10 @@ def content_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         sizes = np.fromiter((len(f) for f in fields.values()), np.int64, len(fields))
         start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         rows = np.fromiter(fields, np.int64, len(fields))
+        salts = np.array([_path_salt(name) for f in fields.values() for name, _ in f], _U)
         with np.errstate(over="ignore"):
             for h, p in ((h1, p1), (h2, p2)):
-                each = mix(p[0::2] * _U(3) + mix(p[1::2]))
+                each = mix((p[0::2] + salts) * _U(3) + mix(p[1::2]))
                 h[rows] = mix(np.add.reduceat(each, start) + sizes.astype(_U) + _U(1 << 63))
     return count, h1, h2
 
@@ -162,8 +201,8 @@ def same_record(a: str, b: str) -> bool:
         return not fa and not fb and same_skipping(a, b)
     if len(fa) != len(fb):
         return False
-    key = lambda f: sorted(f, key=lambda p: ["".join(_RUN.findall(_folded(x))) for x in p])
-    return all(same_skipping(p[0], q[0]) and same_skipping(p[1], q[1]) for p, q in zip_longest(key(fa), key(fb), fillvalue=("", "")))
+    key = lambda f: sorted(f, key=lambda p: (_path_salt(p[0]), *("".join(_RUN.findall(_folded(x))) for x in p)))
+    return all(_path_salt(p[0]) == _path_salt(q[0]) and same_skipping(p[0], q[0]) and same_skipping(p[1], q[1]) for p, q in zip_longest(key(fa), key(fb), fillvalue=("", "")))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +220,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["keep_id"], b["id"], pa.array(same, pa.bool_())], ["keep_id", "copy_id", "same"])
 
 
+def _digest(parts: list[str]) -> bytes:
+    """SHA-256 over the runs of letters and digits of each part, fed one after the other."""
+    h = hashlib.sha256()
+    for part in parts:
+        for m in _RUN.finditer(part):
+            h.update(_folded(m[0]).encode("utf-8", "surrogatepass"))
+        h.update(b"\0")
+    return h.digest()
+
+
 def _exact_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = []
         for t in b["content"].to_pylist():
             fields = named_fields(t)
-            parts = sorted("\0".join("".join(_RUN.findall(_folded(x))) for x in p) for p in fields) if fields else ["".join(_RUN.findall(_folded(t)))]
-            keys.append(hashlib.sha256("\1".join(parts).encode()).hexdigest())
+            keys.append(hashlib.sha256(b"".join(sorted(_digest([*name.split(PATH), value]) for name, value in fields))).hexdigest() if fields else _digest([t]).hex())
         yield pa.RecordBatch.from_arrays([b["id"], pa.array(keys)], ["id", "exact"])
 
 
