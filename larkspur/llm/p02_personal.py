@@ -1,9 +1,9 @@
 """Problem 2: personal information inside free text, by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in one pass: at-signs in any spelling, street words, introductions of names,
-given names, and the words that tell account, transfer and ticket numbers from personal ones; runs of digits are
-anchors, too. Deterministic local parsers expand each anchor to the item's borders and validate it. Found items are
-replaced by placeholders of their type; all other text stays as it is.
+An Aho-Corasick automaton finds all anchors in one pass: at-signs in any spelling, schemes, digits, street words,
+introductions of names, given names, and the words that tell account, transfer and ticket numbers from personal ones.
+Deterministic local parsers expand each anchor to the item's borders and validate it. Found items are replaced by
+placeholders of their type; all other text stays as it is.
 
 Types: EMAIL, PHONE, ID, ADDRESS, NAME. Positions count characters from 1. Where items overlap, the earlier and then
 the longer one stays. Defined results: null and empty texts hold no items; rows with a null id are left out; repeated
@@ -25,6 +25,11 @@ from larkspur.llm.text import lower
 
 # Words that end a street's name.
 STREET_WORDS = "street road row lane avenue marg cross approach drive close court crescent terrace square boulevard gali chowk salai path way colony layout nagar enclave".split()
+# Words that begin a street's name in other languages, and endings of German street names.
+STREET_BEGINNINGS = "rue|allée|chemin|impasse|quai|cours|place|avenue|boulevard|calle|avenida|paseo|plaza|carrer|carretera|via|viale|corso|piazza|vicolo|rua|travessa|praça|largo".split("|")
+STREET_ENDINGS = "straße strasse str. weg platz allee gasse damm ufer".split()
+# Small words inside such names.
+STREET_PARTICLES = frozenset("de du des da do das dos del della dei degli di la le les los las el l' d' y e et von der am an im zum zur".split())
 # Words that introduce a person's name. A name follows at once.
 NAME_CUES = (
     "my name is", "name is", "this is", "i am", "i'm", "regards,", "sincerely,", "thanks,", "thank you,", "sent by", "signed by", "signed,", "spoke with", "spoke to", "talked to", "met with", "ask for",
@@ -34,6 +39,14 @@ NAME_CUES = (
 )
 # Cues after which a given name may stand alone.
 ALONE_CUES = frozenset("thank you,|thanks,|dear|hello|hi|mr.|mr|mrs.|mrs|ms.|ms|miss|dr.|dr|shri|smt.|smt|regards,|sincerely,|my name is|this is|sent by|me llamo|मेरा नाम".split("|"))
+# Words after which only a full name of two capitalised words is taken for one.
+WEAK_CUES = "to from with by told contact email met tenant landlord guarantor colleague neighbour beneficiary payee recipient".split()
+# Titles, after which a surname may stand alone.
+TITLES = frozenset("mr. mr mrs. mrs ms. ms miss dr. dr shri smt. smt sra. mme herr frau".split())
+# Words that make a place or a firm of two capitalised words.
+NO_SURNAMES = frozenset("""east west north south central hill hills port park plaza bay lake city town village island islands street road square market house tower station airport valley river beach county district
+state states kingdom republic university college school hospital hotel group partners holdings capital york angeles francisco diego delhi kong plan fund gold silver plus prime credit pay""".split())
+NO_FIRST_NAMES = frozenset("new san los las saint st north south east west upper lower great united hong sri abu el la port mount lake fort royal".split())
 # Frequent given names.
 GIVEN_NAMES = """aisha ahmed ali amit amina amir ana anita anna anil anjali ananya antonio arjun arun asha ashok bhavna carlos chen clara daniel david deepa deepak devan diego divya elena emma
 fatima farah francesca gaurav geeta george gita grace hana hassan hemant ibrahim imran indira isabel ivan james jaya jean john jose joseph juan julia karan karim kavita kavya khalid kiran
@@ -54,6 +67,10 @@ OTHER_NUMBER_CUES = ("utr", "transfer", "account", "a/c", "ticket", "reference",
 ID_CUES = ("identity", "id number", "aadhaar", "aadhar", "pan", "passport", "kyc", "emirates id", "voter", "national id", "id no", "record shows", "asked for")
 TOLL_FREE = re.compile(r"1800[\s-]?\d{3}[\s-]?\d{3,4}")
 
+#: Characters before a number in which cues count, before a street word in which its name and house number are looked
+#: for, and of the local part of an address (which has no more by its standard).
+CUE_WINDOW, STREET_WINDOW, LOCAL_MAX = 28, 60, 64
+SCHEMES = ("mailto:", "tel:", "sms:")
 _AT = ("@", "(at)", "[at]", "{at}", " at ")
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[\w.%+'-]*[A-Za-z0-9_])?$")
 _DOT = r"(?:\.|\s?[(\[{]dot[)\]}]\s?|\sdot\s)"
@@ -72,6 +89,10 @@ _PHONES = tuple(
         r"[6-9]\d{9}",
         r"[6-9]\d{4}[.\s-]\d{5}",
         r"[6-9]\d{2}[\s-]\d{3}[\s-]\d{4}",
+        r"[2-9]\d{2}[.-][2-9]\d{2}[.-]\d{4}",
+        r"\([2-9]\d{2}\)\s?[2-9]\d{2}-\d{4}",
+        r"0\d{2,4}[\s-]\d{3,4}[\s-]\d{3,4}",
+        r"0\d(?:[\s.]\d{2}){4}",
     )
 )
 _IDS = tuple(re.compile(p, re.I) for p in (r"[2-9]\d{3}([ -])\d{4}\1\d{4}", r"[2-9]\d{11}", r"[A-Z]{5}\d{4}[A-Z]", r"[A-Z]\d{7}", r"[A-Z]{3}\d{7}", r"784-\d{4}-\d{7}-\d", r"\d{3}-\d{2}-\d{4}"))
@@ -94,7 +115,8 @@ _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     kinds: dict[str, list[str]] = {}
-    for words, kind in ((_AT, "at"), (STREET_WORDS, "street"), (NAME_CUES, "cue"), (GIVEN_NAMES, "given")):
+    anchors = ((_AT, "at"), (SCHEMES, "scheme"), ("0123456789", "digit"), (STREET_WORDS, "street"), (STREET_BEGINNINGS, "begins"), (STREET_ENDINGS, "ends"), (NAME_CUES, "cue"), (WEAK_CUES, "weak"), (GIVEN_NAMES, "given"), (OTHER_NUMBER_CUES, "other"), (ID_CUES, "id"))
+    for words, kind in anchors:
         for w in words:
             kinds.setdefault(w, []).append(kind)
     for w, k in kinds.items():
@@ -109,12 +131,17 @@ def _whole(text: str, start: int, end: int) -> bool:
     return not (before.isalnum() and text[start].isalnum()) and not (after.isalnum() and text[end - 1].isalnum())
 
 
+def _whole_word(text: str, start: int, end: int) -> bool:
+    """Whether a cue is no part of a longer run of letters; digits may touch it."""
+    return not (text[start - 1 : start].isalpha() and text[start].isalpha()) and not (text[end : end + 1].isalpha() and text[end - 1].isalpha())
+
+
 def _email(text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
     spelled = low[start:end] != "@"
     left = start
     if spelled and left and text[left - 1] == " ":
         left -= 1
-    local = _LOCAL.search(text, max(0, left - 64), left)
+    local = _LOCAL.search(text, max(0, left - LOCAL_MAX), left)
     domain = _DOMAIN.match(text, end, end + 256)
     if not local or not domain:
         return None
@@ -126,13 +153,13 @@ def _email(text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
 
 
 def _address(text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
-    name = _STREET_NAME.search(text, max(0, start - 60), start)
+    name = _STREET_NAME.search(text, max(0, start - STREET_WINDOW), start)
     if not name:
         return None
     words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text[name.start() : start])]
     offset = name.start()
     for first, _ in words:  # the longest street name that a house number precedes
-        house = _HOUSE.search(text, max(0, offset + first - 60), offset + first)
+        house = _HOUSE.search(text, max(0, offset + first - STREET_WINDOW), offset + first)
         if house and any(c.isdigit() for c in house[0]):
             own = text[offset + first : start].split()
             named = text[start].isupper() and own[0][0].isupper()
@@ -142,7 +169,51 @@ def _address(text: str, low: str, start: int, end: int) -> tuple[int, int] | Non
     return None
 
 
-def _number(text: str, low: str, start: int, end: int) -> tuple[str, int, int] | None:
+_AFTER_NUMBER = re.compile(r"(?:,?\s*(?:n[º°.]|no\.?|nr\.?)?\s*)(\d{1,5}(?:\s?[a-zA-Z])?(?:[/-]\d{1,4})?)(?![\w])")
+_BEFORE_NUMBER = re.compile(r"(?<![\w.,/-])\d{1,5}(?:\s?(?:bis|ter|[a-zA-Z]))?,?\s+$")
+_TOWN = re.compile(r"(?:,\s*(?:[A-Z]{1,2}-)?\d{4,6}\s+[^\W\d_][\w'’-]+(?:\s[A-Z][\w'’-]+)?|,\s*[A-Z][\w'’-]+(?:\s[A-Z][\w'’-]+)?(?:\s+\d{4,6})?)?")
+_ENDED = re.compile(r"[^\W\d_][\w'’-]*$")
+
+
+_PARTICLE = re.compile(r"\s+(?:de|du|des|della|del|da|do|la|l'|d')")
+AMBIGUOUS = frozenset("via place avenue boulevard plaza cours corso largo".split())
+
+
+def _foreign_address(text: str, low: str, start: int, end: int, begins: bool) -> tuple[int, int] | None:
+    """An address whose street word comes first (rue de la Paix) or ends its name (Hauptstraße), with a house number."""
+    if begins:
+        at, named = end, 0
+        while (m := re.compile(r"\s+([^\W\d_][\w'’.-]*)").match(text, at)) and named < 5:
+            small = low[m.start(1) : m.end(1)].split("'")[0] in STREET_PARTICLES or low[m.start(1) : m.start(1) + 2] in ("l'", "d'")
+            if not small and not m[1][0].isupper():
+                break
+            named += 1
+            at = m.end(1)
+            if not small and text[at : at + 1] in ",.;":
+                break
+        before, after = _BEFORE_NUMBER.search(text, max(0, start - STREET_WINDOW), start), _AFTER_NUMBER.match(text, at)
+        if not named or not (before or after):
+            return None
+        last = at if before else after.end()
+        town = _TOWN.match(text, last).end()
+        # Words that mean other things, too, need a particle behind them or a town at the end.
+        if low[start:end] in AMBIGUOUS and not _PARTICLE.match(low, end) and town == last:
+            return None
+        return before.start() if before else start, town
+    first = _ENDED.search(text, max(0, start - STREET_WINDOW), start)
+    own = first.start() if first else start
+    after = re.compile(r"\s+(\d{1,4}(?:\s?[a-zA-Z])?(?:[/-]\d{1,4})?)(?!\w)").match(text, end)
+    if not after or not text[own].isupper() or own == start and text[start - 1 : start] not in (" ", "-"):
+        return None
+    return own, _TOWN.match(text, after.end()).end()
+
+
+def _words_between(low: str, start: int, end: int) -> int:
+    return len(re.findall(r"[^\W\d_]+|₹", low[start:end]))
+
+
+def _number(text: str, low: str, start: int, end: int, cues: list[tuple[int, int, str]]) -> tuple[str, int, int] | None:
+    """The personal number in a run of digits. ``cues``: (start, end, kind) of the cue words of the text."""
     value = text[start:end]
     if value.startswith("(") and ")" not in value:
         start, value = start + 1, value[1:]
@@ -151,12 +222,11 @@ def _number(text: str, low: str, start: int, end: int) -> tuple[str, int, int] |
     end = start + len(value)
     if TOLL_FREE.fullmatch(value.lstrip("+")):
         return None
-    before = low[max(0, start - 28) : start]
-    cue = re.search(r"([^\W\d_][\w/. ]*?|₹)[\s:#.-]*$", before)
-    near = " ".join(re.findall(r"[^\W\d_]+|₹", before)[-3:])
-    other = any(re.search(rf"(?<![^\W\d_]){re.escape(c.rstrip('.'))}(?![^\W\d_])", near) for c in OTHER_NUMBER_CUES) if cue else False
+    near = [c for c in cues if start - CUE_WINDOW <= c[0] and c[1] <= start]
+    follows = re.search(r"(?:[^\W\d_][\w/. ]*?|₹)[\s:#.-]*$", low[max(0, start - CUE_WINDOW) : start])
+    other = follows is not None and any(kind == "other" and _words_between(low, s, start) <= 3 for s, _, kind in near)
     if any(p.fullmatch(value) for p in _IDS):
-        personal = any(c in before for c in ID_CUES)
+        personal = any(kind == "id" for _, _, kind in near)
         if value.isdigit() and other and not personal:
             return None
         return "ID", start, end
@@ -168,9 +238,25 @@ def _number(text: str, low: str, start: int, end: int) -> tuple[str, int, int] |
     return None
 
 
-def _numbers(text: str, low: str) -> Iterator[tuple[str, int, int]]:
-    for m in _NUMBER.finditer(text):
-        found = _number(text, low, m.start(), m.end())
+_LETTERS = re.compile(r"(?<!\w)[A-Za-z]{1,5}$")
+
+
+def _numbers(text: str, low: str, digits: list[int], cues: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """Personal numbers, expanded from the digits that the automaton has found."""
+    done = 0
+    for i in digits:
+        if i < done:
+            continue
+        m = None
+        if i and text[i - 1].isalpha() and (left := _LETTERS.search(text, max(done, i - 6), i)):
+            m = _NUMBER.match(text, left.start())
+        elif i > done and text[i - 1] in "+(":
+            m = _NUMBER.match(text, i - 1)
+        m = m or _NUMBER.match(text, i)
+        if not m:
+            continue
+        done = m.end()
+        found = _number(text, low, m.start(), m.end(), cues)
         if found:
             yield found
             continue
@@ -179,7 +265,7 @@ def _numbers(text: str, low: str) -> Iterator[tuple[str, int, int]]:
             taken = -1
             for p, kind in (*((p, "ID") for p in _IDS), *((p, "PHONE") for p in _PHONES)):
                 for part in re.finditer(rf"(?<![\d+(]){p.pattern}(?!\d)", m[0], p.flags):
-                    if part.start() >= taken and (hit := _number(text, low, m.start() + part.start(), m.start() + part.end())) and hit[0] == kind:
+                    if part.start() >= taken and (hit := _number(text, low, m.start() + part.start(), m.start() + part.end(), cues)) and hit[0] == kind:
                         yield hit
                         taken = part.end()
 
@@ -208,6 +294,8 @@ def _name(text: str, low: str, at: int, cue: str | None) -> tuple[int, int] | No
             return at, second.end()
     if not cue:
         return None
+    if cue in TITLES and _style(first[0]) == "title" and given not in NO_SURNAMES and len(given) > 2:
+        return at, end
     stop = text[end : end + 1]
     if known and cue in ALONE_CUES or known and stop in ".,;!?)\n" or known and not stop:
         return at, end
@@ -216,6 +304,18 @@ def _name(text: str, low: str, at: int, cue: str | None) -> tuple[int, int] | No
     return None
 
 
+_FULL_NAME = re.compile(r"\s+([^\W\d_][^\W\d_'’-]+(?:[-'’][^\W\d_]+)?)\s([^\W\d_][^\W\d_'’-]+(?:[-'’][^\W\d_]+)?)(?![\w-])(?!\s+[A-Z])")
+
+
+def _full_name(text: str, at: int) -> tuple[int, int] | None:
+    """Two capitalised words that are no place, firm or product and that no third one follows."""
+    m = _FULL_NAME.match(text, at)
+    if not m or not all(m[i].istitle() or m[i][0].isupper() and not m[i].isupper() for i in (1, 2)):
+        return None
+    one, two = m[1].lower(), m[2].lower()
+    return None if {one, two} & NO_NAMES or one in NO_FIRST_NAMES or two in NO_SURNAMES or len(one) < 3 or len(two) < 3 else (m.start(1), m.end(2))
+
+
 _GIVEN = frozenset(GIVEN_NAMES)
 _GAP = re.compile(r"[\s:]*")
 _TITLE = re.compile(r"(?:mr|mrs|ms|miss|dr|shri|smt|sri)\.?\s+", re.I)
@@ -227,25 +327,43 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     low = lower(text)
-    found: list[tuple[str, int, int]] = list(_numbers(text, low))
+    found: list[tuple[str, int, int]] = []
+    digits: list[int] = []
+    cues: list[tuple[int, int, str]] = []
     for last, (word, kinds) in _automaton().iter(low):
+        if "digit" in kinds:
+            digits.append(last)
+            continue
         start, end = last + 1 - len(word), last + 1
+        if "scheme" in kinds and (m := re.compile(r"\+?\d[\d().-]{6,18}\d").match(text, end)) and word != "mailto:":
+            found.append(("PHONE", m.start(), m.end()))
+        if "id" in kinds:
+            cues.append((start, end, "id"))
+        if "other" in kinds and _whole_word(low, start, end):
+            cues.append((start, end, "other"))
         if "at" in kinds:
             if span := _email(text, low, start, end):
                 found.append(("EMAIL", *span))
             continue
+        if "ends" in kinds and not low[end : end + 1].isalnum() and (span := _foreign_address(text, low, start, end, False)):
+            found.append(("ADDRESS", *span))
         if not _whole(low, start, end):
             continue
         if "street" in kinds and (span := _address(text, low, start, end)):
             found.append(("ADDRESS", *span))
+        elif "begins" in kinds and (span := _foreign_address(text, low, start, end, True)):
+            found.append(("ADDRESS", *span))
         if "cue" in kinds:
             at = _GAP.match(text, end).end()
             if title := _TITLE.match(text, at):
                 at = title.end()
             if at > end and (span := _name(text, low, at, word)):
                 found.append(("NAME", *span))
+        if "weak" in kinds and text[end : end + 1] == " " and (span := _full_name(text, end)):
+            found.append(("NAME", *span))
         if "given" in kinds and (span := _name(text, low, start, None)):
             found.append(("NAME", *span))
+    found += _numbers(text, low, digits, cues)
     found.sort(key=lambda f: (_RANK[f[0]] > 0, f[1], f[1] - f[2], _RANK[f[0]]))
     kept: list[tuple[str, int, int]] = []
     for kind, start, end in found:
