@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.session import cut
 
 MAX_CHARS = 1000
 OVERLAP = 250
 NEAR = 0.85
+#: Chunks of one section that are folded in one row.
+BLOCK = 256
 
 _BLANK_LINE = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -260,15 +263,31 @@ def _fresh(least: float):
     return run
 
 
-def near_first(rows: DataFrame, order: str = "ord", least: float = NEAR) -> DataFrame:
+_GROUP = ["doc_id", "_h", "_s"]
+
+
+def near_first(rows: DataFrame, order: str = "ord", least: float = NEAR, block: int = BLOCK) -> DataFrame:
     """Greedy removal of near duplicates inside (doc_id, heading, subheading): a chunk goes if a kept one is so similar.
 
-    ``rows``: doc_id, heading, subheading, content, ``order`` and any other columns. The fold needs the chunks of one
-    section of one document together, never those of several documents; many sections share one Arrow batch.
+    ``rows``: doc_id, heading, subheading, content, ``order`` and any other columns. A group of up to ``block`` chunks is
+    folded in one row, and many groups share an Arrow batch. The chunks of a larger group are compared block by block in
+    as many tasks as there are pairs of blocks, and who stays is then settled on the similar pairs alone.
     """
     columns = rows.columns
-    keyed = rows.select("doc_id", T.dedup_key("heading").alias("_h"), T.dedup_key("subheading").alias("_s"), F.struct(F.col(order).alias("_o"), T.dedup_key("content").alias("_c"), F.struct(*columns).alias("_row")).alias("_e"))
-    groups = _dealt(keyed, "doc_id", "_h", "_s").groupBy("doc_id", "_h", "_s").agg(F.array_sort(F.collect_list("_e"), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)).alias("_g"))
+    keyed = cut(rows.select("doc_id", T.dedup_key("heading").alias("_h"), T.dedup_key("subheading").alias("_s"), F.struct(F.col(order).alias("_o"), T.dedup_key("content").alias("_c"), F.struct(*columns).alias("_row")).alias("_e")))
+    large = keyed.groupBy(*_GROUP).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    if large.isEmpty():
+        return _folded(keyed, least)
+    number = F.row_number().over(Window.partitionBy(*_GROUP).orderBy("_e._o"))
+    big = cut(keyed.join(large, _GROUP).withColumn("_i", number))
+    stay = big.join(_near_duplicates(big, least, block), [*_GROUP, "_i"], "left_anti").select("_e._row.*")
+    return _folded(keyed.join(large, _GROUP, "left_anti"), least).union(stay)
+
+
+def _folded(keyed: DataFrame, least: float) -> DataFrame:
+    """The kept rows of groups of a bounded number of chunks."""
+    in_order = lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)
+    groups = _dealt(keyed, *_GROUP).groupBy(*_GROUP).agg(F.array_sort(F.collect_list("_e"), in_order).alias("_g"))
     single = F.size("_g") == 1
     alone = groups.where(single).select(F.element_at("_g", 1)["_row"].alias("_row"))
     several = groups.where(~single).withColumn("_keep", _fresh(least)(F.transform("_g", lambda e: e["_c"])))
@@ -276,6 +295,44 @@ def near_first(rows: DataFrame, order: str = "ord", least: float = NEAR) -> Data
     return alone.union(kept).select("_row.*")
 
 
+def _similar(least: float, block: int):
+    @F.pandas_udf("array<struct<i:int,j:int>>")
+    def run(tiles: pd.Series) -> pd.Series:
+        out = []
+        for tile in tiles:
+            chunks = sorted((int(e["i"]), e["c"]) for e in tile)
+            of = lambda i: (i - 1) // block
+            split = of(chunks[0][0]) != of(chunks[-1][0])  # two blocks: only pairs across are wanted
+            known, found = [], []
+            for j, c in chunks:
+                often = Counter(c)
+                found += [{"i": i, "j": j} for i, k in known if not (split and of(i) == of(j)) and is_near(c, k, often, least)]
+                known.append((j, Known(c)))
+            out.append(found)
+        return pd.Series(out)
+
+    return run
+
+
+def _near_duplicates(big: DataFrame, least: float, block: int) -> DataFrame:
+    """The numbers _i of the chunks of large groups (``_GROUP``, _n, _i, _e) that a kept earlier one is so similar to."""
+    own, last = F.floor((F.col("_i") - 1) / block).cast("int"), F.floor((F.col("_n") - 1) / block).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("z")))
+    tiles = big.select(*_GROUP, F.struct(F.col("_i").alias("i"), F.col("_e._c").alias("c")).alias("e"), F.explode(meets).alias("m")).repartition(*_GROUP, "m").groupBy(*_GROUP, "m").agg(F.collect_list("e").alias("tile"))
+    open_ = cut(tiles.select(*_GROUP, F.explode(_similar(least, block)("tile")).alias("p")).select(*_GROUP, "p.i", "p.j").distinct())
+    at = lambda c: open_.select(*_GROUP, F.col(c).alias("_i")).distinct()
+    gone = at("j").limit(0)
+    while not open_.isEmpty():
+        # A chunk without a similar one before it stays, and what is similar to it goes; the rest is settled in later rounds.
+        stays = at("i").join(at("j"), [*_GROUP, "_i"], "left_anti")
+        goes = cut(open_.join(stays.withColumnRenamed("_i", "i"), [*_GROUP, "i"], "left_semi").select(*_GROUP, F.col("j").alias("_i")).distinct())
+        gone = gone.union(goes)
+        for c in ("i", "j"):
+            open_ = open_.join(goes.withColumnRenamed("_i", c), [*_GROUP, c], "left_anti")
+        open_ = cut(open_)
+    return gone
+
+
 def standard_chunks(chunks: DataFrame) -> DataFrame:
     """Chunk messages without layout columns: ids filled in, types cleaned, content stripped and hashed."""
     chunk_id = F.coalesce("chunk_id", F.concat(F.col("doc_id"), F.lit("_c"), F.col("ord").cast("string")))

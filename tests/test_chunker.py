@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -60,6 +61,32 @@ def test_near_rule_is_the_plain_ratio(texts):
             assert C.is_near(a, C.Known(b)) == (SequenceMatcher(None, a, b).ratio() >= 0.85)
 
 
+def test_large_groups_are_settled_as_the_fold_would(spark):
+    rnd = random.Random(8)
+    rows = []
+    for g in ("a", "b"):
+        base = "the settlement team must reconcile the valuation report within days"
+        for i in range(60):
+            text = list(base)
+            for _ in range(rnd.randint(0, 9)):
+                text[rnd.randrange(len(text))] = rnd.choice("xyz ")
+            if rnd.random() < 0.3:
+                base = "".join(text)
+            rows.append((g, i, "H", "", "".join(text)))
+    rows += [("c", 0, "H", "", "single"), ("d", 0, "H", "", None), ("d", 1, "H", "", None)]
+    df = spark.createDataFrame(rows, "doc_id string, ord int, heading string, subheading string, content string")
+    whole = {(r.doc_id, r.ord) for r in C.near_first(df).collect()}
+    want = set()
+    for g in {r[0] for r in rows}:
+        kept = []
+        for r in (r for r in rows if r[0] == g):
+            if not any(k and r[4] and SequenceMatcher(None, " ".join(r[4].split()), " ".join(k.split())).ratio() >= 0.85 for k in kept):
+                kept.append(r[4])
+                want.add(r[:2])
+    assert whole == {(r.doc_id, r.ord) for r in C.near_first(df, block=8).collect()}
+    assert 5 < len([x for x in whole if x[0] == "a"]) < 60 and whole == want
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "doc_id string, ord int, text string, element_type string, heading_level int, page int")
     assert C.create_chunks(C.build_sections(e)).count() == 0
