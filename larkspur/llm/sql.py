@@ -32,8 +32,8 @@ k AS (SELECT chunk_id, CASE
   WHEN len(items) > 1 AND len(list_filter(items, lambda x: NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}]*\\p{{L}}[\\p{{L}}\\p{{N}} ]{{0,40}}\\s*:\\s'))) = 0
   THEN 'F' || array_to_string(list_sort(list_transform(items, lambda x: {_canon("string_split(x, ':')[1]")} || chr(1) || {_canon("substr(x, position(':' IN x) + 1)")})), chr(2))
   ELSE 'T' || {_canon("content")} END AS key FROM s),
-g AS (SELECT key, min(chunk_id) AS keep_id FROM k GROUP BY key)
-SELECT DISTINCT keep_id, chunk_id AS copy_id FROM k JOIN g USING (key) WHERE chunk_id <> keep_id"""
+g AS (SELECT key, min(chunk_id) AS keep_id, count(DISTINCT chunk_id) AS copies FROM k GROUP BY key)
+"""
 
 _P6 = f"""
 WITH c AS (SELECT DISTINCT chunk_id AS id, content, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM chunks WHERE content IS NOT NULL),
@@ -52,4 +52,4 @@ SELECT DISTINCT doc_id, id AS case_id FROM g JOIN h USING (g)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p8_found": _P8}
+    return {"p1_found": _P1, "p3_found": _P3, "p5_found": _P5 + "SELECT DISTINCT keep_id, chunk_id AS copy_id FROM k JOIN g USING (key) WHERE chunk_id <> keep_id", "p5_copies": _P5 + "SELECT keep_id, copies FROM g", "p6_found": _P6, "p8_found": _P8}
