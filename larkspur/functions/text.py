@@ -87,7 +87,7 @@ def ascii_json(c: Column | str) -> Column:
     text = _col(c)
     escaped = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
     letters = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)))
-    whole = F.array_join(F.transform(letters, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), escaped(x)).otherwise(x)), "")
+    whole = F.array_join(F.transform(letters, lambda x: F.when(F.ascii(x) > 127, escaped(x)).otherwise(x)), "")
     return F.when(text.rlike(r"[^\x00-\x7f]"), whole).otherwise(text)
 
 

@@ -108,11 +108,11 @@ def recall(lexical: DataFrame, semantic: DataFrame, top: int = FUSED_TOP, raw_le
     (a lexical hit alone has 0, and so has the worst semantic hit unless all are equal).
     """
     by = Window.partitionBy("query_id")
-    one = scaled(lexical, "bm25_score", "bm25_norm").withColumn("bm25_rank", F.row_number().over(by.orderBy(F.desc("bm25_norm"), "chunk_id")))
-    two = scaled(semantic.withColumn("raw", engine_score(F.col("cosine"))).where(F.col("raw") >= raw_least), "raw", "semantic_score")
+    one = scaled(cut(lexical), "bm25_score", "bm25_norm").withColumn("bm25_rank", F.row_number().over(by.orderBy(F.desc("bm25_norm"), "chunk_id")))
+    two = scaled(cut(semantic.withColumn("raw", engine_score(F.col("cosine"))).where(F.col("raw") >= raw_least)), "raw", "semantic_score")
     two = two.withColumn("ann_rank", F.row_number().over(by.orderBy(F.desc("semantic_score"), "chunk_id")))
     fused = search.rrf(one.select("query_id", "chunk_id", "bm25_norm", "bm25_rank"), two.select("query_id", "chunk_id", "semantic_score", "ann_rank"))
-    ranked = scaled(fused, "rrf_score", "fused_score").where(F.col("rrf_rank") <= top)
+    ranked = scaled(cut(fused), "rrf_score", "fused_score").where(F.col("rrf_rank") <= top)
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return ranked.select("query_id", "chunk_id", zero("bm25_norm"), zero("semantic_score"), "rrf_score", "fused_score", "rrf_rank").where(F.col("semantic_score") >= least)
 
@@ -175,33 +175,23 @@ def lexical(turns: DataFrame, queries: DataFrame, top: int = HISTORY, k1: float
     """BM25 over questions and answers of long-term memory, the better field counts: query_id, chunk_id, bm25_score.
 
     ``turns``: turn_id, user_id, session_id, scope_id, user_message, bot_response; ``queries``: query_id, query and the
-    same three keys. A question meets the turns of its own user, session and scope only, by an equi-join, before
-    anything is ranked; frequencies cover all turns. Ties go to the smaller id.
+    same three keys. A question's terms meet those of its own user's, session's and scope's turns only, by an equi-join on
+    the keys and the term, before anything is ranked; frequencies cover all turns. Ties go to the smaller id.
     """
     fields = ("user_message", "bot_response")
     stored = cut(turns.select(F.col("turn_id").alias("chunk_id"), *KEYS, *(T.tokens(f).alias(f) for f in fields)))
-    terms = _asked(queries).select("query_id", F.explode(T.tokens("query")).alias("term"))
-    weighed = None
-    for f in fields:
-        df = stored.select(F.explode(F.array_distinct(f)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        size = stored.agg(F.count(f).alias("n"))  # one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = terms.join(df, "term").join(F.broadcast(size)).groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias(f"_{f}"))
-        weighed = part if weighed is None else weighed.join(part, "query_id", "full_outer")
-    average = stored.agg(*(F.avg(F.size(f)).alias(f"_avg_{f}") for f in fields))  # one row
-    pairs = _asked(queries).select("query_id", *KEYS).join(weighed, "query_id").join(stored, list(KEYS)).join(F.broadcast(average))
-
-    def score(f: str) -> Column:
-        length = F.lit(k1) * (1 - b + b * F.size(f) / F.greatest(F.col(f"_avg_{f}"), F.lit(1e-300)))
-
-        def add(total: Column, x: Column) -> Column:
-            tf = F.size(F.filter(f, lambda t: t == x["term"])).cast("double")
-            return total + x["idf"] * tf * (k1 + 1) / (tf + length)
-
-        return F.coalesce(F.aggregate(f"_{f}", F.lit(0.0), add), F.lit(0.0))
-
-    scored = pairs.select("query_id", "chunk_id", F.round(F.greatest(*map(score, fields)), search.DIGITS).alias("bm25_score"))
-    return _best(scored.where("bm25_score > 0").distinct(), "bm25_score", top)
+    sizes = stored.agg(*(x for f in fields for x in (F.count(f), F.avg(F.size(f))))).first()
+    asked = _asked(queries).select("query_id", *KEYS, F.explode(T.tokens("query")).alias("term"))
+    found = None
+    for i, f in enumerate(fields):
+        n, average = sizes[2 * i], float(sizes[2 * i + 1] or 0.0)
+        postings = cut(stored.select("chunk_id", *KEYS, F.size(f).alias("length"), F.explode(f).alias("term")).groupBy("chunk_id", *KEYS, "length", "term").agg(F.count("*").alias("tf")))
+        idf = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / max(average, 1e-300)))
+        hits = asked.join(idf, "term").join(postings, [*KEYS, "term"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+        found = hits if found is None else found.unionByName(hits)
+    best = found.groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), search.DIGITS).alias("bm25_score"))
+    return _best(best.where("bm25_score > 0"), "bm25_score", top)
 
 
 def semantic(turns: DataFrame, queries: DataFrame, vector: str = "combined_embedding", top: int = HISTORY) -> DataFrame:

@@ -225,11 +225,22 @@ def rrf(first: DataFrame, second: DataFrame, constant: int = RRF, top: int | Non
     return ranked if top is None else ranked.where(F.col("rrf_rank") <= top)
 
 
-def overlap_logit(query: Column, content: Column) -> Column:
-    """Deterministic stand-in for a cross-encoder: the share of the question's words in the content, as a logit."""
-    q, c = F.array_distinct(T.tokens(query)), F.array_distinct(T.tokens(content))
-    share = F.size(F.array_intersect(q, c)) / F.greatest(F.size(q), F.lit(1))
-    return 8.0 * share - 4.0
+class Overlap:
+    """Deterministic stand-in for a cross-encoder: the share of the question's words in the content, as a logit.
+
+    ``prepare`` is what a scorer does once for each content, before it meets its questions.
+    """
+
+    @staticmethod
+    def prepare(content: Column) -> Column:
+        return F.array_distinct(T.tokens(content))
+
+    def __call__(self, query: Column, prepared: Column) -> Column:
+        asked = F.array_distinct(T.tokens(query))
+        return 8.0 * (F.size(F.array_intersect(asked, prepared)) / F.greatest(F.size(asked), F.lit(1))) - 4.0
+
+
+overlap_logit = Overlap()
 
 
 def model_logit(scorer: Callable[[list[tuple[str, str]]], list[float]], batch: int = 16) -> Callable[[Column, Column], Column]:
@@ -253,8 +264,11 @@ def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, logit: Ca
     """Candidates (query_id, chunk_id, rrf_rank) with relevance_score, the best ``top`` per question; ties keep fusion order."""
     if top < 1:
         raise ValueError("top must be at least 1")
-    texts = candidates.join(docs.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    scored = texts.withColumn("relevance_score", scores.sigmoid(logit(F.col("query"), F.col("content"))))
+    candidates = cut(candidates)  # read twice
+    prepare = getattr(logit, "prepare", lambda content: content)
+    needed = docs.select("chunk_id", "content").join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    texts = candidates.join(needed.select("chunk_id", "content", prepare(F.col("content")).alias("_prepared")), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    scored = texts.withColumn("relevance_score", scores.sigmoid(logit(F.col("query"), F.col("_prepared")))).drop("_prepared")
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "rrf_rank")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
