@@ -32,6 +32,9 @@ MOST_CENTRES = 65_536
 #: Cosine that a comparison in single precision allows for.
 ROUGH = 2e-6
 TILE = 512
+#: Bytes that a comparing task should read, and of a row beside its vector.
+TASK_BYTES = 8 << 20
+ROW_BYTES = 32
 SEED = 20240607
 
 
@@ -169,14 +172,14 @@ def _compared(dims: int, k: int, least: float):
     return run
 
 
-def _centres(base: DataFrame, dims: int, per: int, seed: int) -> dict[str | None, np.ndarray]:
-    """The centres of each collection: vectors whose hashed id is a multiple, so that runs repeat."""
-    sizes = base.groupBy("collection").count().collect()
-    per = max(per, -(-sum(r["count"] for r in sizes) // MOST_CENTRES))
+def _centres(base: DataFrame, dims: int, per: int, seed: int) -> tuple[dict[str | None, np.ndarray], int]:
+    """The centres of each collection (vectors whose hashed id is a multiple, so that runs repeat) and the number of vectors."""
+    total = base.count()
+    per = max(per, -(-total // MOST_CENTRES))
     chosen: dict[str | None, list[bytes]] = {}
     for r in base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(per)) == 0).select("collection", "unit").orderBy("collection", "unit").collect():
         chosen.setdefault(r["collection"], []).append(r["unit"])
-    return {c: np.frombuffer(b"".join(u), np.float32).reshape(-1, dims) for c, u in chosen.items()}
+    return {c: np.frombuffer(b"".join(u), np.float32).reshape(-1, dims) for c, u in chosen.items()}, total
 
 
 def nearest(vectors: DataFrame, k: int = K, min_cosine: float = -1.0, dims: int = DIMENSIONS, per: int = PER_CENTRE, cells: int = CELLS, seed: int = SEED) -> DataFrame:
@@ -191,8 +194,11 @@ def nearest(vectors: DataFrame, k: int = K, min_cosine: float = -1.0, dims: int
     # The order of vid is that of the ids, so ties can be told by it.
     base = cut(unit.groupBy("collection", "id").agg(F.min("unit").alias("unit")).orderBy("collection", "id").withColumn("vid", F.monotonically_increasing_id()))
     distinct = cut(base.groupBy("collection", "unit").agg(F.min_by("id", "vid").alias("id"), F.min("vid").alias("vid"), F.count("*").alias("n")))
-    in_cells = distinct.select("collection", "vid", "unit").mapInArrow(_in_cells(dims, _centres(distinct, dims, per, seed), cells), "collection string, cell int, vid long, unit binary")
-    compared = in_cells.repartition("collection", "cell").sortWithinPartitions("collection", "cell").mapInArrow(_compared(dims, k, min_cosine), "vid long, other long, cosine double")
+    centres, total = _centres(distinct, dims, per, seed)
+    in_cells = distinct.select("collection", "vid", "unit").mapInArrow(_in_cells(dims, centres, cells), "collection string, cell int, vid long, unit binary")
+    # As many tasks as the copies of the vectors need, however many there are: a task's share doesn't grow with the table.
+    parts = max(base.sparkSession.sparkContext.defaultParallelism, -(-total * cells * (4 * dims + ROW_BYTES) // TASK_BYTES))
+    compared = in_cells.repartition(parts, "collection", "cell").sortWithinPartitions("collection", "cell").mapInArrow(_compared(dims, k, min_cosine), "vid long, other long, cosine double")
     by_cosine = F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("cosine"), "other"))
     close = compared.repartition("vid").groupBy("vid", "other").agg(F.max("cosine").alias("cosine")).withColumn("rank", by_cosine).where(F.col("rank") <= k).drop("rank")
     # Ids of equal vectors: the first k + 1 of each, and one row for each vector that others share.
